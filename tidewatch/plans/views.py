@@ -175,7 +175,7 @@ ITEMS_SQL = f"""items AS (
     {sql_collapse("substr(CASE WHEN regexp_matches(" + sql_trim('text') + ", '^.*?[.!?](" + W + "|$)') THEN " + sql_trim("regexp_extract(" + sql_trim('text') + ", '^(.*?[.!?])(" + W + "|$)', 1)") + " ELSE " + sql_trim('text') + " END, 1, 80)")} AS title,
     {sql_trim('text')} AS content, lang
   FROM documents),
-hashed AS (
+hashed AS MATERIALIZED (
   SELECT *, sha256(canonical_url) AS url_hash,
     sha256({sql_fold("regexp_replace(title, '[\\x{200b}-\\x{200d}\\x{2060}\\x{feff}]', '', 'g')")} || chr(10) ||
            {sql_fold("regexp_replace(content, '[\\x{200b}-\\x{200d}\\x{2060}\\x{feff}]', '', 'g')")}) AS content_hash
