@@ -23,8 +23,10 @@ _NUMERIC = "^(BIGINT|DECIMAL.*|DOUBLE|FLOAT)$"
 class Reply:
     """Strictly typed access to one JSON reply column: ``3.0`` is an integer, ``"3"`` is not."""
 
-    def __init__(self, raw: Column):
-        self.json = F.try_parse_json(strip_code_fence(raw))
+    def __init__(self, df: DataFrame, raw: str):
+        # Parsed once into a column; every rule below reads that column.
+        self.df = df.withColumn("_reply", F.try_parse_json(strip_code_fence(F.col(raw))))
+        self.json = F.col("_reply")
         self.shape = F.schema_of_variant(self.json)
         self.problems: list[Column] = []
 
@@ -95,7 +97,7 @@ class Reply:
 def validate_enrichment(df: DataFrame, raw: str = "completion") -> DataFrame:
     """Column-shaped enrichment with ``status`` ok/quarantined. Invalid rows carry the lowest
     impact, no text and the reason; they are never shown."""
-    r = Reply(F.col(raw))
+    r = Reply(df, raw)
     r.one_of("category", CATEGORIES)
     r.text_list("vendors")
     r.text_list("products")
@@ -103,7 +105,7 @@ def validate_enrichment(df: DataFrame, raw: str = "completion") -> DataFrame:
     r.text("summary")
     r.text("why_it_matters")
     r.text("rationale", optional=True)
-    out = df.withColumn("quarantine_reason", r.reason())
+    out = r.df.withColumn("quarantine_reason", r.reason())
     ok = F.col("quarantine_reason").isNull()
     empty = F.array().cast("array<string>")
     return out.withColumns(
@@ -117,7 +119,7 @@ def validate_enrichment(df: DataFrame, raw: str = "completion") -> DataFrame:
             "why_it_matters": F.when(ok, r.value("why_it_matters")).otherwise(""),
             "rationale": F.when(ok, r.value("rationale")),
         }
-    )
+    ).drop("_reply")
 
 
 def pending(raw: DataFrame, derived: DataFrame, retry_quarantined: bool = True) -> DataFrame:
@@ -164,7 +166,7 @@ def run_report(validated: DataFrame) -> DataFrame:
 def validate_change(df: DataFrame, raw: str, shown: str, trigger: str) -> DataFrame:
     """Change verdicts may cite only ids that were shown, and any kind but ``new`` needs another
     item's id. Adds ``verdict`` (null when rejected) and ``reject_reason``."""
-    r = Reply(F.col(raw))
+    r = Reply(df, raw)
     r.one_of("kind", CHANGE_KINDS)
     r.one_of("dimension", DIMENSIONS)
     r.text("before", nullable=True)
@@ -189,14 +191,16 @@ def validate_change(df: DataFrame, raw: str, shown: str, trigger: str) -> DataFr
         r.value("rationale").alias("rationale"),
         evidence.alias("evidence_item_ids"),
     )
-    return df.withColumn("reject_reason", reason).withColumn(
-        "verdict", F.when(F.col("reject_reason").isNull(), verdict)
+    return (
+        r.df.withColumn("reject_reason", reason)
+        .withColumn("verdict", F.when(F.col("reject_reason").isNull(), verdict))
+        .drop("_reply")
     )
 
 
 def validate_conflict(df: DataFrame, raw: str, a: str, b: str) -> DataFrame:
     """``contradict`` needs a verbatim span of each statement. ``judged`` is null when unusable."""
-    r = Reply(F.col(raw))
+    r = Reply(df, raw)
     r.one_of("verdict", ["contradict", "consistent"])
     for side in ("evidenceA", "evidenceB"):
         kind = r.kind(side)
@@ -204,7 +208,7 @@ def validate_conflict(df: DataFrame, raw: str, a: str, b: str) -> DataFrame:
     spans = [quote_is_grounded(r.value(e), F.col(s), 3) for e, s in (("evidenceA", a), ("evidenceB", b))]
     grounded = spans[0] & spans[1]
     usable = r.reason().isNull() & ((r.value("verdict") == "consistent") | grounded)
-    return df.withColumn("judged", F.when(usable, r.value("verdict") == "contradict"))
+    return r.df.withColumn("judged", F.when(usable, r.value("verdict") == "contradict")).drop("_reply")
 
 
 _CLAIM = "struct<text: string, sourceId: bigint, quote: string>"
@@ -224,7 +228,7 @@ def _claim_ok(m: Column) -> Column:
 
 def validate_brief_draft(df: DataFrame, raw: str = "draft_json") -> DataFrame:
     """Shape check of a drafted brief (two or more sides per conflict); adds ``draft``."""
-    r = Reply(F.col(raw))
+    r = Reply(df, raw)
     r.text("summary")
     for name in ("claims", "conflicts"):
         kind = r.kind(name)
@@ -241,8 +245,10 @@ def validate_brief_draft(df: DataFrame, raw: str = "draft_json") -> DataFrame:
 
     r._require(F.forall(r.members("conflicts"), conflict_ok), "conflicts: malformed conflict")
     parsed = F.from_json(strip_code_fence(F.col(raw)), DRAFT)
-    return df.withColumn("reject_reason", r.reason()).withColumn(
-        "draft", F.when(F.col("reject_reason").isNull(), parsed)
+    return (
+        r.df.withColumn("reject_reason", r.reason())
+        .withColumn("draft", F.when(F.col("reject_reason").isNull(), parsed))
+        .drop("_reply")
     )
 
 
@@ -288,13 +294,13 @@ def audit_draft(drafts: DataFrame, sources: DataFrame, key: str = "brief_id") ->
 
 def validate_cell_draft(df: DataFrame, raw: str, driving_id: str) -> DataFrame:
     """A drafted matrix cell must use a closed level and cite exactly the driving signal."""
-    r = Reply(F.col(raw))
+    r = Reply(df, raw)
     r.one_of("level", CELL_LEVELS)
     r.text("note")
     cited = citations(r.value("note"))
     usable = r.reason().isNull() & (F.size(cited) > 0) & F.forall(cited, lambda x: x == F.col(driving_id))
     cell = F.struct(r.value("level").alias("level"), r.value("note").alias("note"))
-    return df.withColumn("drafted", F.when(usable, cell))
+    return r.df.withColumn("drafted", F.when(usable, cell)).drop("_reply")
 
 
 def accept_or_fallback(live: Column, valid: Column, deterministic: Column) -> Column:

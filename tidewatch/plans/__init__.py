@@ -1,6 +1,6 @@
 """Registered queries; importing the modules fills the registry."""
 
-from tidewatch.plans import ingest, scalar  # noqa: F401
+from tidewatch.plans import gates, ingest, scalar, search  # noqa: F401
 from tidewatch.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
