@@ -24,7 +24,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A test table; zone-less timestamps are read as UTC instants."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     zoneless = [f.name for f in df.schema.fields if f.dataType.typeName() == "timestamp_ntz"]
-    return df.withColumns({c: F.col(c).cast("timestamp") for c in zoneless}) if zoneless else df
+    if zoneless:
+        df = df.withColumns({c: F.col(c).cast("timestamp") for c in zoneless})
+    return spread(df) if name in ("documents", "pages", "conversations") else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core for text work when the scan has fewer splits than that (one small file). A
+    scan with enough splits is left as it is, so nothing large is ever shuffled for this."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def _category(event_type: Column) -> Column:
