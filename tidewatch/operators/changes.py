@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.functions.columns import pinned
 from tidewatch.functions.labels import dimension_of
 from tidewatch.functions.text import fold, sentences, trim_all
 from tidewatch.functions.vectors import dot
@@ -31,7 +32,7 @@ def sentence_diff(before: Column, after: Column) -> Column:
 def classify_revisions(revised: DataFrame) -> DataFrame:
     """Diff revised items against their stored pre-image. Needs raw_item_id, title, content,
     summary, impact_score, category, source_kind, previous_title, previous_content."""
-    d = revised.withColumn("_d", sentence_diff(F.col("previous_content"), F.col("content")))
+    d = pinned(revised, {"_d": sentence_diff(F.col("previous_content"), F.col("content"))})
     removed, added = F.col("_d.removed"), F.col("_d.added")
     retitled = trim_all(F.col("previous_title")) != trim_all(F.col("title"))
     before = F.when(F.size(removed) > 0, F.array_join(removed, " ")).when(retitled, F.col("previous_title"))
@@ -197,8 +198,8 @@ def kind_report(events: DataFrame) -> DataFrame:
 def evaluate_pairs(pairs: DataFrame, threshold: float = SIMILARITY_THRESHOLD) -> DataFrame:
     """Predicted kind of labelled pairs. pairs: id, prior, next, revised, expected, prior_vector,
     next_vector."""
-    d = sentence_diff(F.col("prior"), F.col("next"))
-    same = (F.size(d["removed"]) == 0) & (F.size(d["added"]) == 0)
+    pairs = pinned(pairs, {"_d": sentence_diff(F.col("prior"), F.col("next"))})
+    same = (F.size("_d.removed") == 0) & (F.size("_d.added") == 0)
     similarity = dot(F.col("prior_vector"), F.col("next_vector"))
     textual = F.coalesce("revised", F.lit(False)) & F.col("prior").isNotNull()
     actual = (
@@ -212,7 +213,7 @@ def evaluate_pairs(pairs: DataFrame, threshold: float = SIMILARITY_THRESHOLD) ->
             "actual": actual,
             "similarity": F.when(~textual & F.col("prior").isNotNull(), similarity),
         }
-    ).withColumn("correct", F.col("actual") == F.col("expected"))
+    ).withColumn("correct", F.col("actual") == F.col("expected")).drop("_d")
 
 
 def accuracy(results: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.functions.columns import pinned
 from tidewatch.functions.text import leading_quote
 
 # Words that carry no subject.
@@ -125,18 +126,14 @@ def polarity(stems: Column) -> Column:
 def with_claim_features(df: DataFrame, text: str, prefix: str) -> DataFrame:
     """Tokenise a statement once: stems, negated stems, polarity and figures."""
     tokens = f"{prefix}_tokens"
-    return (
-        df.withColumn(tokens, claim_tokens(F.coalesce(text, F.lit(""))))
-        .withColumns(
-            {
-                f"{prefix}_stems": content_stems(F.col(tokens)),
-                f"{prefix}_negated": negated_stems(F.col(tokens)),
-                f"{prefix}_figures": figures(F.coalesce(text, F.lit(""))),
-            }
-        )
-        .withColumn(f"{prefix}_polarity", polarity(F.col(f"{prefix}_stems")))
-        .drop(tokens)
-    )
+    cut = pinned(df, {tokens: claim_tokens(F.coalesce(text, F.lit("")))})
+    features = {
+        f"{prefix}_stems": content_stems(F.col(tokens)),
+        f"{prefix}_negated": negated_stems(F.col(tokens)),
+        f"{prefix}_figures": figures(F.coalesce(text, F.lit(""))),
+    }
+    stemmed = pinned(cut, features).drop(tokens)
+    return pinned(stemmed, {f"{prefix}_polarity": polarity(F.col(f"{prefix}_stems"))})
 
 
 def contradiction_signals(a: str, b: str) -> Column:
@@ -174,7 +171,7 @@ def contradiction_signals(a: str, b: str) -> Column:
 def detect(df: DataFrame, a: str, b: str) -> DataFrame:
     """Add ``contradicts`` and ``signals`` for two text columns."""
     featured = with_claim_features(with_claim_features(df, a, "_a"), b, "_b")
-    out = featured.withColumn("signals", contradiction_signals("_a", "_b"))
+    out = pinned(featured, {"signals": contradiction_signals("_a", "_b")})
     drop = [c for c in out.columns if c.startswith(("_a_", "_b_"))]
     return out.withColumn("contradicts", F.size("signals") > 0).drop(*drop)
 

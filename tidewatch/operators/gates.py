@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.functions.columns import pinned
 from tidewatch.functions.text import citations, quote_is_grounded, strip_code_fence
 from tidewatch.operators.sinks import count_attempts
 from tidewatch.schemas import (
@@ -25,7 +26,7 @@ class Reply:
 
     def __init__(self, df: DataFrame, raw: str):
         # Parsed once into a column; every rule below reads that column.
-        self.df = df.withColumn("_reply", F.try_parse_json(strip_code_fence(F.col(raw))))
+        self.df = pinned(df, {"_reply": F.try_parse_json(strip_code_fence(F.col(raw)))})
         self.json = F.col("_reply")
         self.shape = F.schema_of_variant(self.json)
         self.problems: list[Column] = []
@@ -105,7 +106,7 @@ def validate_enrichment(df: DataFrame, raw: str = "completion") -> DataFrame:
     r.text("summary")
     r.text("why_it_matters")
     r.text("rationale", optional=True)
-    out = r.df.withColumn("quarantine_reason", r.reason())
+    out = pinned(r.df, {"quarantine_reason": r.reason()})
     ok = F.col("quarantine_reason").isNull()
     empty = F.array().cast("array<string>")
     return out.withColumns(
@@ -192,7 +193,7 @@ def validate_change(df: DataFrame, raw: str, shown: str, trigger: str) -> DataFr
         evidence.alias("evidence_item_ids"),
     )
     return (
-        r.df.withColumn("reject_reason", reason)
+        pinned(r.df, {"reject_reason": reason})
         .withColumn("verdict", F.when(F.col("reject_reason").isNull(), verdict))
         .drop("_reply")
     )
@@ -246,7 +247,7 @@ def validate_brief_draft(df: DataFrame, raw: str = "draft_json") -> DataFrame:
     r._require(F.forall(r.members("conflicts"), conflict_ok), "conflicts: malformed conflict")
     parsed = F.from_json(strip_code_fence(F.col(raw)), DRAFT)
     return (
-        r.df.withColumn("reject_reason", r.reason())
+        pinned(r.df, {"reject_reason": r.reason()})
         .withColumn("draft", F.when(F.col("reject_reason").isNull(), parsed))
         .drop("_reply")
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.functions.columns import pinned
 from tidewatch.functions.text import collapse, content_hash, trim_all
 from tidewatch.functions.urls import canonical_url, url_hash
 from tidewatch.operators.sequence import latest_per_key
@@ -18,14 +19,16 @@ def normalise(items: DataFrame, unicode_forms: bool = True) -> DataFrame:
     ``reject_reason`` that is null for usable rows. Needs url, title, content, author."""
     body = trim_all(F.coalesce("content", F.lit("")))
     author = trim_all(F.col("author"))
-    shaped = items.withColumns(
+    shaped = pinned(
+        items,
         {
             "canonical_url": canonical_url(F.col("url")),
             "url": trim_all(F.col("url")),
             "title": collapse(F.coalesce("title", F.lit(""))),
             "author": F.when(author != "", author),
-        }
-    ).withColumn("content", F.when(body != "", body).otherwise(F.col("title")))
+            "content": body,
+        },
+    ).withColumn("content", F.when(F.col("content") != "", F.col("content")).otherwise(F.col("title")))
     reason = F.when(F.col("canonical_url").isNull(), "invalid url").when(
         F.col("title") == "", "empty title"
     )
