@@ -152,7 +152,8 @@ def link_restatements(events: DataFrame, facts: DataFrame) -> DataFrame:
     mine = F.struct(F.col("at").alias("superseded_at"), F.col("item_id").alias("by"))
     made_before = F.struct("valid_from", "fact_id") < F.struct(F.col("at").alias("valid_from"), F.col("item_id").alias("fact_id"))
     alive = F.col("_gone.by").isNull() | (F.col("_gone") > mine)
-    return joined.withColumn("previous_fact_id", F.when(made_before & alive, F.col("fact_id"))).drop(
+    dated = F.col("valid_from").isNotNull() & F.col("at").isNotNull()
+    return joined.withColumn("previous_fact_id", F.when(dated & made_before & alive, F.col("fact_id"))).drop(
         "fact_id", "valid_from", "_gone"
     )
 
