@@ -132,7 +132,7 @@ facts AS MATERIALIZED (SELECT item_id AS fact_id, vendor, dimension, after AS fa
     CASE WHEN kind = 'update' THEN lag(item_id) OVER w END AS previous_fact_id, CASE WHEN lead(kind) OVER w = 'update' THEN lead(item_id) OVER w END AS superseded_by,
     CASE WHEN lead(kind) OVER w = 'update' THEN lead(ts0) OVER w END AS superseded_at
   FROM change_rows WHERE vendor IS NOT NULL AND kind IN ('new', 'update') AND ts0 IS NOT NULL WINDOW w AS (PARTITION BY vendor, dimension ORDER BY ts0, item_id)),
-links AS (SELECT c.item_id, CASE WHEN (f.valid_from, f.fact_id) < (c.ts0, c.item_id) AND (f.superseded_by IS NULL OR (f.superseded_at, f.superseded_by) > (c.ts0, c.item_id)) THEN f.fact_id END AS previous_fact_id
+links AS (SELECT c.item_id, CASE WHEN c.ts0 IS NOT NULL AND (f.valid_from, f.fact_id) < (c.ts0, c.item_id) AND (f.superseded_by IS NULL OR (f.superseded_at, f.superseded_by) > (c.ts0, c.item_id)) THEN f.fact_id END AS previous_fact_id
   FROM change_rows c LEFT JOIN facts f ON f.fact_id = c.evidence AND c.evidence <> c.item_id WHERE c.kind IN ('rephrase', 'duplicate')),
 change_events AS (SELECT c.item_id AS trigger_item_id, coalesce(c.vendor, 'Market') AS vendor, c.dimension, c.kind, NULL::VARCHAR AS before, c.after,
     CASE WHEN c.kind IN ('new', 'update') THEN c.impact_score ELSE 1 END AS materiality, 'because ' || c.kind AS rationale,
