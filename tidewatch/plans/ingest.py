@@ -11,6 +11,7 @@ from tidewatch.operators.sequence import latest_per_key
 from tidewatch.plans.registry import query
 from tidewatch.plans.scalar import html_text_sql
 from tidewatch.plans.views import ITEMS_SQL, SIGNALS_SQL, SOURCES_SQL, W, items, raw_items, sources, table
+from tidewatch.session import settle
 from tidewatch.sources import payloads as pay
 
 
@@ -270,15 +271,15 @@ outcomes AS (SELECT source_id, seq, outcome FROM walk WHERE seq IS NOT NULL)"""
 
 @query("n3_first_wins_dedupe", f"WITH RECURSIVE {FIRST_WINS_SQL} SELECT source_id, seq, outcome FROM outcomes")
 def _(spark, d):
-    rows = ing.accepted(normalised(spark, d))
+    rows = settle(ing.accepted(normalised(spark, d)).select("source_id", "seq", "url_hash", "content_hash"))
     kept = ing.first_wins(rows, "seq", ["source_id"])
     return ing.first_wins_report(rows, kept, "seq", ["source_id"]).select("source_id", "seq", "outcome")
 
 
 def stored_and_batch(spark, d):
     """Stored: labelled documents, revised wording for the toxic ones. Batch: every document, deduped."""
-    rows = ing.accepted(normalised(spark, d))
-    batch = ing.first_wins(rows, "seq")
+    rows = settle(ing.accepted(normalised(spark, d)))
+    batch = settle(ing.first_wins(rows, "seq"))
     lab = table(spark, d, "labels").select(F.col("doc_id").alias("raw_item_id"), "toxic", "quality")
     base = batch.join(lab, "raw_item_id").withColumns(
         {
