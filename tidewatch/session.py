@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,19 +35,43 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def _path(spark: SparkSession, path: str):
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path, jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a private one only where none is configured."""
+    """The cluster's checkpoint folder; where none is set, one in the home folder of the default file system.
+
+    That file system is the one every executor sees, so a table written here is read by all of them.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not configured:
-        configured = tempfile.mkdtemp(prefix="tidewatch-")
+        fs = spark.sparkContext._jvm.org.apache.hadoop.fs.FileSystem.get(spark.sparkContext._jsc.hadoopConfiguration())
+        configured = f"{fs.getHomeDirectory().toString().rstrip('/')}/.tidewatch"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(configured)
     return configured
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder this run wrote; a missing one is no error."""
+    target, fs = _path(spark, path)
+    fs.delete(target, True)
+
+
 def run_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder under the shared one for tables a job writes between stages."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A fresh folder under the shared one for tables a job writes between stages; it goes when the application ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    target, fs = _path(spark, path)
+    fs.deleteOnExit(target)
+    atexit.register(_forget, fs, target)
+    return path
+
+
+def _forget(fs, target) -> None:
+    with contextlib.suppress(Exception):  # the gateway may have gone before; the JVM's own hook deletes it then
+        fs.delete(target, True)
 
 
 def settle(df: DataFrame) -> DataFrame:
