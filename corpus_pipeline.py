@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tidewatch.llm import byte_bpe, exact_dedup, mixing, toxicity
+from tidewatch.llm import byte_bpe, exact_dedup, lsh_forest, mixing, toxicity
 from tidewatch.llm.common import stored, table
 from tidewatch.llm.queries import PATTERN, RANKS, toxicity_model
 
@@ -21,6 +20,11 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.without_copies(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by a Jaccard similarity of 0.8 or more, the one with the smallest id."""
+    return lsh_forest.without_near_copies(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix of sources holds it, whole each time."""
     return mixing.mixed_documents(docs)
@@ -34,6 +38,7 @@ def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 STAGES = [
     ("toxicity", drop_toxic),
     ("exact_dedup", drop_copies),
+    ("ngram_jaccard", drop_near_copies),
     ("mixing", mix_sources),
     ("byte_bpe", encode_texts),
 ]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.session import remove, run_dir
@@ -34,6 +34,23 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return Stored(df, label).df
 
 
+def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of `docs` whose id and text are those of a row of `kept` (doc_id, text_sha256), each once.
+
+    Texts move once, when rows meet the list. Rows that repeat an id and text differ at most in other columns; one of
+    them stays, and within a task the others go before the shuffle.
+    """
+
+    def key(doc_id: Column, digest: Column) -> Column:
+        return F.concat_ws(":", digest, F.coalesce(doc_id.cast("string"), F.lit("null")))
+
+    listed = kept.select(key(F.col("doc_id"), F.col("text_sha256")).alias("_key")).distinct()
+    others = [c for c in docs.columns if c != text_col]
+    once = Window.partitionBy("_key").orderBy(*[F.col(c).cast("string") for c in others])
+    keyed = docs.withColumn("_key", key(F.col(id_col).cast("long"), F.sha2(whole(text_col), 256))).withColumn("_nth", F.row_number().over(once)).where("_nth = 1")
+    return keyed.join(listed, "_key", "left_semi").select(*docs.columns)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Smallest node reachable, for every node that has an edge: (node, component).
 

@@ -13,10 +13,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import Stored, stored, whole
+from tidewatch.llm.common import Stored, keep_rows, stored, whole
 
 WINDOW = 32  # bytes the rolling hash sees
 MIN_CHUNK = 512
@@ -145,17 +145,5 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that `exact_groups` keeps, with all their columns.
-
-    Texts move once, when rows meet the list of kept ones. Rows that repeat an id and text differ at most in other
-    columns; one of them stays, and all but one are already left out before the shuffle.
-    """
-    kept = exact_groups(docs, id_col, text_col).where("kept").select(_key(F.col("doc_id"), F.col("text_sha256")).alias("_key")).distinct()
-    others = [c for c in docs.columns if c != text_col]
-    once = Window.partitionBy("_key").orderBy(F.xxhash64(*others), *[F.col(c).cast("string") for c in others])
-    keyed = docs.withColumn("_key", _key(F.col(id_col).cast("long"), F.sha2(whole(text_col), 256))).withColumn("_nth", F.row_number().over(once)).where("_nth = 1")
-    return keyed.join(kept, "_key", "left_semi").select(*docs.columns)
-
-
-def _key(doc_id: Column, digest: Column) -> Column:
-    return F.concat_ws(":", digest, F.coalesce(doc_id.cast("string"), F.lit("null")))
+    """The rows of `docs` that `exact_groups` keeps, with all their columns."""
+    return keep_rows(docs, exact_groups(docs, id_col, text_col).where("kept"), id_col, text_col)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import byte_bpe, exact_dedup, mixing, toxicity
+from tidewatch.llm import byte_bpe, cover_tree, exact_dedup, lsh_forest, mixing, toxicity
 from tidewatch.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,14 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 
 
+def op1_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op2_lsh_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh_forest.near_groups(table(spark, sf_dir, "documents")).drop("text_sha256")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).drop("n_chunks")
 
@@ -96,6 +104,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_cover_tree": op1_cover_tree,
+    "op2_lsh_forest_join": op2_lsh_forest_join,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_pareto_mixing": op7_pareto_mixing,
     "op8_byte_bpe": op8_byte_bpe,
