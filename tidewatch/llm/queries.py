@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import byte_bpe, cover_tree, exact_dedup, lsh_forest, mixing, toxicity
+from tidewatch.llm import byte_bpe, cover_tree, exact_dedup, lsh_forest, mixing, sharding, token_lengths, toxicity
 from tidewatch.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,30 @@ def op2_lsh_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.near_groups(table(spark, sf_dir, "documents")).drop("text_sha256")
 
 
+def op3_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_lengths.with_sums(token_lengths.lengths(table(spark, sf_dir, "documents"), RANKS, PATTERN))
+
+
+def op5_extendible_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(table(spark, sf_dir, "documents"))
+
+
+def sharding_sql(limit: int, bits: int = 40) -> str:
+    """Every prefix of every document's hash, the shortest that fits; enough bits for tables without oversized groups of repeats."""
+    return f"""
+WITH docs AS (
+  SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS n_bytes, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS h FROM documents),
+strings AS (SELECT *, lpad(bin(h), {sharding.WORD_BITS}, '0') AS b FROM docs),
+buckets AS (SELECT doc_id, n_bytes, b[1:d] AS shard, d, sum(n_bytes) OVER same AS shard_bytes, count(*) OVER same AS shard_docs
+            FROM strings, range(0, {bits}) AS r(d) WINDOW same AS (PARTITION BY d, b[1:d]))
+SELECT doc_id, n_bytes, shard, shard_bytes::BIGINT AS shard_bytes, shard_docs FROM buckets WHERE shard_bytes <= {limit} OR shard_docs = 1
+QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY d) = 1
+"""
+
+
+OP5_SQL = sharding_sql(sharding.LIMIT_BYTES)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).drop("n_chunks")
 
@@ -106,9 +130,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_cover_tree": op1_cover_tree,
     "op2_lsh_forest_join": op2_lsh_forest_join,
+    "op3_token_lengths": op3_token_lengths,
+    "op5_extendible_hashing": op5_extendible_hashing,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_pareto_mixing": op7_pareto_mixing,
     "op8_byte_bpe": op8_byte_bpe,
     "op10_toxicity": op10_toxicity,
 }
-ORACLES: dict[str, str] = {"op6_exact_dedup": OP6_SQL, "op7_pareto_mixing": OP7_SQL}
+ORACLES: dict[str, str] = {"op5_extendible_hashing": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op7_pareto_mixing": OP7_SQL}
