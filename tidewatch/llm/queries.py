@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import byte_bpe, cover_tree, exact_dedup, lsh_forest, mixing, sharding, token_lengths, toxicity
+from tidewatch.llm import byte_bpe, cover_tree, exact_dedup, lsh_forest, mixing, secrets, sharding, token_lengths, toxicity
 from tidewatch.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,12 @@ def op3_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_lengths.with_sums(token_lengths.lengths(table(spark, sf_dir, "documents"), RANKS, PATTERN))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    count = [F.size(F.filter(F.transform("base", lambda x: x["kind"]), lambda k: k == F.lit(secrets.KINDS.index(kind)))).cast("long").alias(f"n_{kind}") for kind in secrets.KINDS[:3]]  # noqa: B023
+    return found.select("doc_id", *count, F.sha2(secrets.joined(F.col("base")), 256).alias("base_sha256"), secrets.joined(F.col("found")).alias("spans"))
+
+
 def op5_extendible_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents"))
 
@@ -131,6 +137,7 @@ QUERIES: dict[str, Query] = {
     "op1_cover_tree": op1_cover_tree,
     "op2_lsh_forest_join": op2_lsh_forest_join,
     "op3_token_lengths": op3_token_lengths,
+    "op4_secret_scan": op4_secret_scan,
     "op5_extendible_hashing": op5_extendible_hashing,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_pareto_mixing": op7_pareto_mixing,
