@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import byte_bpe, cover_tree, exact_dedup, lsh_forest, mixing, secrets, sharding, token_lengths, toxicity
+from tidewatch.llm import byte_bpe, cover_tree, exact_dedup, fuzzy_lines, lsh_forest, mixing, secrets, sharding, token_lengths, toxicity
 from tidewatch.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -118,6 +118,10 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op9_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_lines.line_groups(table(spark, sf_dir, "documents"))
+
+
 def held_out(id_col: str = "doc_id"):
     """Rows that labels are never learned from: crc32 of the id as text leaves 0 when divided by 5."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
@@ -142,6 +146,7 @@ QUERIES: dict[str, Query] = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_pareto_mixing": op7_pareto_mixing,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_fuzzy_lines": op9_fuzzy_lines,
     "op10_toxicity": op10_toxicity,
 }
 ORACLES: dict[str, str] = {"op5_extendible_hashing": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op7_pareto_mixing": OP7_SQL}
