@@ -45,10 +45,10 @@ def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> D
         return F.concat_ws(":", digest, F.coalesce(doc_id.cast("string"), F.lit("null")))
 
     listed = kept.select(key(F.col("doc_id"), F.col("text_sha256")).alias("_key")).distinct()
-    others = [c for c in docs.columns if c != text_col]
-    once = Window.partitionBy("_key").orderBy(*[F.col(c).cast("string") for c in others])
-    keyed = docs.withColumn("_key", key(F.col(id_col).cast("long"), F.sha2(whole(text_col), 256))).withColumn("_nth", F.row_number().over(once)).where("_nth = 1")
-    return keyed.join(listed, "_key", "left_semi").select(*docs.columns)
+    row = F.struct(*[F.col(c) for c in docs.columns]).alias("_row")
+    keyed = docs.select(row, key(F.col(id_col).cast("long"), F.sha2(whole(text_col), 256)).alias("_key"))
+    once = Window.partitionBy("_key").orderBy(*[F.col("_row")[c].cast("string") for c in docs.columns if c != text_col])
+    return keyed.withColumn("_nth", F.row_number().over(once)).where("_nth = 1").join(listed, "_key", "left_semi").select("_row.*")
 
 
 def components(edges: DataFrame) -> DataFrame:
