@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import tempfile
 import time
 import traceback
 
@@ -11,10 +12,11 @@ from tidewatch.session import build_session
 
 
 def main() -> int:
-    from tidewatch.plans import ORACLES, QUERIES
+    import __spark_entry__
 
+    QUERIES, ORACLES = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     sf_dir, only = sys.argv[1], sys.argv[2:]
-    spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "12g"})
+    spark = build_session(master="local[8]", **{"spark.checkpoint.dir": tempfile.mkdtemp(prefix="tidewatch-check-"), "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "12g"})
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     bad = 0
