@@ -61,6 +61,26 @@ def test_twin_revised_away_earlier_in_the_batch_is_no_twin(spark):
     assert {r.url_hash: r.status for r in ing.classify_upsert(base, later).collect()} == {"u1": "revised", "u9": "duplicate"}
 
 
+def _sequential(rows):
+    used_u, used_c, kept = set(), set(), set()
+    for seq, u, c in sorted(rows):
+        if u not in used_u and c not in used_c:
+            used_u.add(u)
+            used_c.add(c)
+            kept.add(seq)
+    return kept
+
+
+def test_first_wins_has_no_bound_on_chains_or_groups(spark):
+    chain = [(i, f"u{(i + 1) // 2}", f"c{i // 2}") for i in range(5_000)]
+    hot = [(10_000 + i, "hot", f"b{i}") for i in range(5_000)]
+    rng = random.Random(5)
+    mixed = [(20_000 + i, f"m{rng.randrange(40)}", f"n{rng.randrange(40)}") for i in range(400)]
+    rows = chain + hot + mixed
+    df = spark.createDataFrame(rows, "seq long, url_hash string, content_hash string").repartition(4)
+    assert {r.seq for r in ing.first_wins(df, "seq").collect()} == _sequential(rows)
+
+
 def test_catalog_sync_keeps_operator_fields(spark):
     stored = spark.createDataFrame([("rss", "u", "old", "v", None, False, None)], "kind string, url string, name string, vendor string, config string, enabled boolean, last_fetched_at timestamp")
     catalog = spark.createDataFrame([("rss", "u", "new", None, "{}"), ("hn", "w", "n2", None, None)], "kind string, url string, name string, vendor string, config string")

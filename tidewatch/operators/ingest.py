@@ -54,13 +54,13 @@ def first_wins(
     order: str,
     scope: list[str] | None = None,
     keys: tuple[str, str] = ("url_hash", "content_hash"),
-    max_rounds: int = 60,
 ) -> DataFrame:
     """Keep a row iff neither of its keys was used by an earlier *kept* row of its scope.
 
-    A dropped row never blocks a later one, so two ``dropDuplicates`` would be wrong. Each round
-    keeps the rows that come first in both of their groups and drops what collides with them;
-    every group minimum shrinks, so a handful of rounds decides even long collision chains.
+    A dropped row never blocks a later one, so two ``dropDuplicates`` would be wrong. Each round keeps
+    the rows that come first in both of their groups. A row with exactly one earlier rival is kept
+    iff that rival is not, so chains of such rows are followed by pointer doubling and decided in the
+    same round, in steps logarithmic in their length. Then what collides with a kept row is dropped.
     Minima are partial aggregates: a key shared by a third of the rows collapses map-side.
     ``order`` must be unique inside a scope.
     """
@@ -69,21 +69,15 @@ def first_wins(
     # Copies agreeing on both keys stand or fall with the earliest of them.
     open_rows = settle(items.groupBy(*scope, a, b).agg(F.min(order).alias(order)))
     kept: list[DataFrame] = []
-    for _ in range(max_rounds):
-        if open_rows.isEmpty():
-            break
-        head_a = open_rows.groupBy(*scope, a).agg(F.min_by(b, order).alias(b), F.min(order).alias(order))
-        head_b = open_rows.groupBy(*scope, b).agg(F.min_by(a, order).alias(a), F.min(order).alias(order))
-        winners = settle(head_a.join(head_b, [*scope, a, b, order]).select(*scope, a, b, order))
-        kept.append(winners)
+    while not open_rows.isEmpty():
+        ranked = settle(_rivals(open_rows, order, scope, keys))
+        winners = ranked.filter("_ahead = 0").select(*scope, a, b, order)
+        chained = _decided(ranked, order, scope).select(*scope, a, b, order)
+        taken = settle(winners.unionByName(chained))
+        kept.append(taken)
         open_rows = settle(
-            open_rows.join(winners.select(*scope, a), [*scope, a], "left_anti").join(
-                winners.select(*scope, b), [*scope, b], "left_anti"
-            )
+            open_rows.join(taken.select(*scope, a), [*scope, a], "left_anti").join(taken.select(*scope, b), [*scope, b], "left_anti")
         )
-    else:
-        if not open_rows.isEmpty():
-            raise RuntimeError(f"first_wins did not settle within {max_rounds} rounds")
     if not kept:
         return items.limit(0)
     survivors = kept[0]
@@ -92,6 +86,42 @@ def first_wins(
     return items.join(survivors.select(*scope, order), [*scope, order], "left_semi")
 
 
+def _rivals(open_rows: DataFrame, order: str, scope: list[str], keys: tuple[str, str]) -> DataFrame:
+    """Add ``_ahead``, the number of earlier rows that share a key (2 stands for more), and ``_to``,
+    the only such row where there is one."""
+    out = open_rows
+    for key in keys:
+        heads = open_rows.groupBy(*scope, key).agg(F.min(order).alias(f"_first_{key}"))
+        out = out.join(heads, [*scope, key])
+    for key in keys:
+        seconds = out.filter(F.col(order) > F.col(f"_first_{key}")).groupBy(*scope, key).agg(F.min(order).alias(f"_second_{key}"))
+        out = out.join(seconds, [*scope, key], "left")
+    ahead, to = F.lit(0), F.lit(None)
+    for key in keys:
+        place = F.when(F.col(order) == F.col(f"_first_{key}"), 0).when(F.col(order) == F.col(f"_second_{key}"), 1).otherwise(2)
+        ahead, to = ahead + place, F.coalesce(to, F.when(place == 1, F.col(f"_first_{key}")))
+    # A row that is second in both groups may have one rival there and the same one here.
+    first_a, first_b = (F.col(f"_first_{key}") for key in keys)
+    ahead = F.when((ahead == 2) & (first_a == first_b) & (F.col(order) == F.col(f"_second_{keys[0]}")) & (F.col(order) == F.col(f"_second_{keys[1]}")), 1).otherwise(F.least(ahead, F.lit(2)))
+    return out.select(*open_rows.columns, ahead.alias("_ahead"), to.alias("_to"))
+
+
+def _decided(ranked: DataFrame, order: str, scope: list[str]) -> DataFrame:
+    """Rows with one rival that are kept because their chain of single rivals ends, an even number
+    of steps away, in a row without any."""
+    hops = ranked.filter("_ahead = 1").withColumn("_odd", F.lit(True))
+    roots = ranked.filter("_ahead = 0").select(*scope, F.col(order).alias("_to"))
+    while True:
+        onward = hops.select(*scope, F.col(order).alias("_to"), F.col("_to").alias("_far"), F.col("_odd").alias("_odd_far"))
+        joined = hops.join(onward, [*scope, "_to"], "left")
+        longer = settle(
+            joined.withColumns({"_to": F.coalesce("_far", "_to"), "_odd": F.when(F.col("_far").isNull(), F.col("_odd")).otherwise(F.col("_odd") != F.col("_odd_far"))})
+        )
+        hops = longer.select(*ranked.columns, "_odd")
+        if longer.filter("_far is not null").isEmpty():
+            return hops.filter("not _odd").join(roots, [*scope, "_to"], "left_semi")
+
+
 def first_wins_report(items: DataFrame, kept: DataFrame, order: str, scope: list[str]) -> DataFrame:
     """Why each row was kept or collapsed: ``kept``, ``repeated url`` or ``repeated body``."""
     by_url = kept.select(*scope, "url_hash", F.col(order).alias("_u"))
