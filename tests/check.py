@@ -16,7 +16,7 @@ def main() -> int:
 
     QUERIES, ORACLES = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     sf_dir, only = sys.argv[1], sys.argv[2:]
-    spark = build_session(master="local[8]", **{"spark.checkpoint.dir": tempfile.mkdtemp(prefix="tidewatch-check-"), "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "12g"})
+    spark = build_session(master="local[8]", **{"spark.checkpoint.dir": tempfile.mkdtemp(prefix="tidewatch-check-"), "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "12g"})
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     bad = 0

@@ -144,3 +144,42 @@ def test_confidence_levels(spark):
         "evidence_count int, max_impact int, newest_at timestamp, has_primary boolean",
     )
     assert [r.confidence for r in evidence.with_confidence(cells, now).collect()] == ["low", "high", "medium"]
+
+
+def test_pages_deep_in_an_order_come_from_their_ranges(spark, monkeypatch):
+    from tidewatch.operators import ranking
+
+    monkeypatch.setattr(ranking, "FRONT_ROWS", 20)
+    rows = spark.range(1_000).select("id", (F.col("id") % 7).alias("impact_score"))
+    want = sorted(((r.id, r.impact_score) for r in rows.collect()), key=lambda r: (-r[1], -r[0]))
+    for page in (1, 2, 3, 40, 99, 100, 500):
+        got = ranking.paginate(rows, [F.desc("impact_score"), F.desc("id")], page, 10)
+        start = (min(page, 100) - 1) * 10
+        assert [(r.id, r.impact_score) for r in got.collect()] == want[start : start + 10]
+    plan = ranking.paginate(rows, [F.desc("impact_score"), F.desc("id")], 40, 10)._jdf.queryExecution().executedPlan().toString()
+    assert "offset" not in plan.lower()
+
+
+def test_corroborators_are_counted_without_a_bound(spark):
+    from tidewatch.operators import evidence
+
+    at = F.lit("2024-01-01").cast("timestamp")
+    items = spark.range(200).select(
+        F.col("id").alias("raw_item_id"), F.lit("v").alias("vendor"), F.when(F.col("id") == 7, "primary").otherwise("secondary").alias("tier"), at.alias("at"), F.array(F.lit(1.0), F.lit(0.0)).alias("vector")
+    )
+    corpus = items.select(F.col("raw_item_id").alias("chunk_id"), F.col("raw_item_id").alias("item_id"), "vendor", "tier", "at", "vector")
+    verdict, listed = evidence.corroborate(items, corpus)
+    got = {r.raw_item_id: (r.status, r.corroborators) for r in verdict.collect()}
+    assert got[7] == ("primary-source", 199) and got[8] == ("primary-confirmed", 199)
+    assert listed.filter("query_id = 8").count() == 30
+
+
+def test_long_texts_are_split_and_folded_once(spark):
+    from tidewatch.operators.changes import sentence_diff
+
+    old = [f"Sentence number {i} stands here." for i in range(6_000)]
+    new = [s if i % 3 else s.replace("stands", "sits") for i, s in enumerate(old)]
+    row = spark.createDataFrame([(" ".join(old), " ".join(new)), (None, "One. Two."), ("Same.", " same. ")], "a string, b string").select(sentence_diff(F.col("a"), F.col("b")).alias("d")).collect()
+    assert (row[0].d.removed, row[0].d.added) == (old[::3], new[::3])
+    assert (row[1].d.removed, row[1].d.added) == ([], ["One.", "Two."])
+    assert (row[2].d.removed, row[2].d.added) == ([], [])

@@ -120,8 +120,9 @@ def decode_entities(c: Column) -> Column:
     def one(part: Column) -> Column:
         ref = F.lower(F.regexp_extract(part, entity, 1))
         hexadecimal = ref.startswith("#x")
-        digits = F.when(hexadecimal, F.substring(ref, 3, 12)).otherwise(F.substring(ref, 2, 12))
-        code = F.when(hexadecimal, F.conv(digits, 16, 10)).otherwise(
+        digits = F.regexp_replace(ref, "^#x?0*", "")
+        # More than seven digits lie beyond the last code point whatever the base.
+        code = F.when(F.length(digits) > 7, F.lit(None)).when(hexadecimal, F.conv(digits, 16, 10)).otherwise(
             F.regexp_extract(digits, "^[0-9]+", 0)
         )
         number = code.try_cast("bigint")

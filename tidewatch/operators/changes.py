@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.columns import pinned
 from tidewatch.functions.labels import dimension_of
-from tidewatch.functions.text import fold, sentences, trim_all
+from tidewatch.functions.text import fold, let, sentences, trim_all
 from tidewatch.functions.vectors import dot
 from tidewatch.operators.neighbours import nearest
 from tidewatch.operators.sequence import top_per_key, with_neighbours
@@ -20,13 +20,26 @@ MARKET = "Market"
 def sentence_diff(before: Column, after: Column) -> Column:
     """Sentences only in ``before`` (removed) and only in ``after`` (added), verbatim, in order.
     A null text has no sentences."""
-    old, new = sentences(F.coalesce(before, F.lit(""))), sentences(F.coalesce(after, F.lit("")))
+    folded = lambda side: F.transform(side, fold)
 
-    def missing(these: Column, others: Column) -> Column:
-        keys = F.array_distinct(F.transform(others, fold))
-        return F.filter(these, lambda s: ~F.array_contains(keys, fold(s)))
+    def keyed(s: Column) -> Column:
+        """Each side is split and folded once; the keys only one side has come from a hash set."""
+        return F.struct(s["old"].alias("old"), s["new"].alias("new"), folded(s["old"]).alias("old_keys"), folded(s["new"]).alias("new_keys"))
 
-    return F.struct(missing(old, new).alias("removed"), missing(new, old).alias("added"))
+    def gone(k: Column) -> Column:
+        return F.struct(k, F.array_except(k["old_keys"], k["new_keys"]).alias("removed"), F.array_except(k["new_keys"], k["old_keys"]).alias("added"))
+
+    def pick(these: Column, keys: Column, only: Column) -> Column:
+        # No key of its own, or nothing but such keys: no look-up needed.
+        hits = F.filter(these, lambda s, i: F.array_contains(only, F.get(keys, i)))
+        return F.when(F.size(only) == 0, F.slice(these, 1, 0)).when(F.size(only) == F.size(F.array_distinct(keys)), these).otherwise(hits)
+
+    def differing(g: Column) -> Column:
+        k = g["k"]
+        return F.struct(pick(k["old"], k["old_keys"], g["removed"]).alias("removed"), pick(k["new"], k["new_keys"], g["added"]).alias("added"))
+
+    both = F.struct(sentences(F.coalesce(before, F.lit(""))).alias("old"), sentences(F.coalesce(after, F.lit(""))).alias("new"))
+    return let(let(let(both, keyed), lambda k: gone(k.alias("k"))), differing)
 
 
 def classify_revisions(revised: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.labels import recency_weight
 from tidewatch.functions.text import first_sentence
-from tidewatch.operators.neighbours import nearest
+from tidewatch.operators.neighbours import count_within, nearest
 from tidewatch.operators.ranking import best_first, score
 from tidewatch.operators.sequence import latest_per_key, top_per_key
 from tidewatch.schemas import (
@@ -223,17 +223,17 @@ def corroborate(
     """(verdict per signal, its corroborating items).
 
     signals: raw_item_id, vendor, tier, at, vector (the item's lead chunk); corpus: chunk_id, item_id,
-    vendor, tier, at, vector. Whether a primary source agrees is asked in its own search, so the
-    answer does not depend on how many secondary copies crowd the first ``k``.
+    vendor, tier, at, vector. All corroborators are counted, and whether a primary source is among
+    them is asked, in one search; the second result lists the best ``k`` of them.
     """
     q = signals.select(
         F.col("raw_item_id").alias("query_id"), F.col("raw_item_id").alias("self_item"), "vendor", "at", "vector"
     )
     settings = {"group": "vendor", "rule": "band", "band_days": days, "min_similarity": threshold, "by_item": True}
     matches = nearest(q, corpus, k, **settings)
-    primary = nearest(q, corpus.filter("tier = 'primary'"), 1, **settings)
-    some = matches.groupBy("query_id").agg(F.count("*").alias("corroborators"), F.max("similarity").alias("best"))
-    confirmed = primary.select("query_id", F.lit(True).alias("confirmed"))
+    some = count_within(q, corpus.withColumn("flag", F.col("tier") == "primary"), threshold, group="vendor", rule="band", band_days=days).select(
+        "query_id", F.col("n").alias("corroborators"), "best", F.col("flagged").alias("confirmed")
+    )
     status = (
         F.when(F.col("tier") == "primary", "primary-source")
         .when(F.coalesce("confirmed", F.lit(False)), "primary-confirmed")
@@ -243,8 +243,6 @@ def corroborate(
     verdict = (
         signals.select("raw_item_id", "tier")
         .join(some, F.col("raw_item_id") == F.col("query_id"), "left")
-        .drop("query_id")
-        .join(confirmed, F.col("raw_item_id") == F.col("query_id"), "left")
         .select(
             "raw_item_id", F.col("tier").alias("own_tier"), status.alias("status"),
             F.coalesce("corroborators", F.lit(0)).alias("corroborators"), "best",

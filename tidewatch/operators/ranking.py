@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.labels import date_label, recency_weight, resolve_vendor, source_tier
-from tidewatch.functions.text import leading_quote, significant_terms, slug, snippet
+from tidewatch.functions.text import leading_quote, let, significant_terms, slug, snippet
 from tidewatch.operators.sequence import top_per_key
+from tidewatch.session import settle
 from tidewatch.schemas import (
     ALERT_IMPACT,
     BRIEF_ITEMS,
-    PAGE_SCAN_CHARS,
     RECENCY_HALF_LIFE_DAYS,
     RELEVANCE_SHARE,
     UNDATED_AGE_DAYS,
 )
 
+FRONT_ROWS = 10_000  # a page that ends by this row is read off a top-k
+
 
 def spine(enriched: DataFrame, raw: DataFrame, sources: DataFrame, *extra: str) -> DataFrame:
     """Shown signals: enriched rows with their item and source, vendor and tier resolved.
@@ -172,12 +174,31 @@ def page_counters(total: Column, page: int, size: int) -> list[Column]:
 
 def paginate(rows: DataFrame, order: list[Column], page: int, size: int) -> DataFrame:
     """One page of an ordered result with its counters on every row. A page past the end clamps to
-    the last one; only rows up to the page's end are ever ordered in one place."""
+    the last one. Pages near the front are the tail of a short top-k; for any other page the rows are
+    dealt into ranges of the order once, and only the ranges that hold the page are ordered."""
     total = rows.count()
     pages = max(1, -(-total // size))
     current = min(max(1, page), pages)
     start = (current - 1) * size
-    return rows.orderBy(*order).offset(start).limit(size).select("*", *page_counters(F.lit(total), page, size))
+    if start + size <= FRONT_ROWS:
+        shown = rows.orderBy(*order).limit(start + size).withColumn("_at", F.row_number().over(Window.orderBy(*order))).filter(F.col("_at") > start).drop("_at")
+    else:
+        shown = _slice(rows, order, start, size)
+    return shown.select("*", *page_counters(F.lit(total), page, size))
+
+
+def _slice(rows: DataFrame, order: list[Column], start: int, size: int) -> DataFrame:
+    """Rows start + 1 to start + size of the order. One count per range comes to the driver."""
+    ranged = settle(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    ahead, wanted = 0, {}
+    for part, n in sorted((r["_part"], r["count"]) for r in ranged.groupBy("_part").count().collect()):
+        if ahead < start + size and ahead + n > start:
+            wanted[part] = ahead
+        ahead += n
+    base = F.create_map(*[F.lit(x) for item in wanted.items() for x in item]) if wanted else F.create_map(F.lit(-1), F.lit(0))
+    w = Window.partitionBy("_part").orderBy(*order)
+    placed = ranged.filter(F.col("_part").isin(list(wanted))).withColumn("_at", F.row_number().over(w) + F.element_at(base, F.col("_part")))
+    return placed.filter((F.col("_at") > start) & (F.col("_at") <= start + size)).orderBy("_at").select(*rows.columns)
 
 
 def category_facet(signals: DataFrame) -> DataFrame:
@@ -310,15 +331,19 @@ def search_hits(
     return top_per_key(every, ["type"], [F.col("_o"), F.col("key")], per_group).drop("_o")
 
 
-def page_verdict(text: Column, title: Column, vendor: Column) -> Column:
-    """Does a fetched page carry the item? Vendor named (if any) and half the title terms. The scan
-    stops after a fixed number of characters, as the rule defines."""
-    hay = F.lower(F.substring(text, 1, PAGE_SCAN_CHARS))
+def page_verdict(text: Column, title: Column, vendor: Column, max_chars: int | None = None) -> Column:
+    """Does a fetched page carry the item? Vendor named (if any) and half the title terms. The whole
+    page is read unless ``max_chars`` bounds the scan."""
+    page = text if max_chars is None else F.substring(text, 1, max_chars)
+    return F.when(text.isNull(), "unreachable").otherwise(let(F.lower(page), lambda hay: _carried(hay, title, vendor)))
+
+
+def _carried(hay: Column, title: Column, vendor: Column) -> Column:
     names, terms = significant_terms(vendor), significant_terms(title)
     vendor_ok = (F.coalesce(vendor, F.lit("")) == "") | (F.size(names) == 0) | F.exists(names, lambda t: hay.contains(t))
     share = F.size(F.filter(terms, lambda t: hay.contains(t))) / F.size(terms)
     title_ok = (F.size(terms) == 0) | (F.when(F.size(terms) > 0, share) >= RELEVANCE_SHARE)
-    return F.when(text.isNull(), "unreachable").when(vendor_ok & title_ok, "verified").otherwise("irrelevant")
+    return F.when(vendor_ok & title_ok, "verified").otherwise("irrelevant")
 
 
 def alert_rows(items: DataFrame, floor: int = ALERT_IMPACT) -> DataFrame:

@@ -25,7 +25,8 @@ def _successors(instants: DataFrame, width: int) -> DataFrame:
     slotted = instants.withColumn("slot", F.floor(F.col("ms") / width))
     asks = slotted.select("key", (F.col("slot") + 1).alias("slot"), (F.col("ms") + width).alias("t"), F.col("ms").alias("asker"))
     events = slotted.select("key", "slot", F.col("ms").alias("t"), F.lit(None).cast("bigint").alias("asker"))
-    ahead = Window.partitionBy("key", "slot").orderBy("t").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    # Descending, so that a frame grows with its row and is never added up anew.
+    ahead = Window.partitionBy("key", "slot").orderBy(F.desc("t")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     inside = (
         asks.unionByName(events)
         .withColumn("near", F.min(F.when(F.col("asker").isNull(), F.col("t"))).over(ahead))
@@ -34,7 +35,7 @@ def _successors(instants: DataFrame, width: int) -> DataFrame:
     )
     openings = slotted.groupBy("key", "slot").agg(F.min("ms").alias("opens"))
     asked = slotted.select("key", (F.col("slot") + 1).alias("slot")).distinct().withColumn("opens", F.lit(None).cast("bigint"))
-    later = Window.partitionBy("key").orderBy("slot").rangeBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy("key").orderBy(F.desc("slot")).rangeBetween(Window.unboundedPreceding, -1)
     far = (
         openings.unionByName(asked)
         .groupBy("key", "slot").agg(F.min("opens").alias("opens"))
@@ -44,21 +45,17 @@ def _successors(instants: DataFrame, width: int) -> DataFrame:
     return inside.join(far, ["key", "next_slot"]).select("key", "ms", F.coalesce("near", "far").alias("jump"))
 
 
-def window_starts(instants: DataFrame, width: int, max_rounds: int = 40) -> DataFrame:
-    """The instants (key, ms) at which a new window opens."""
+def window_starts(instants: DataFrame, width: int) -> DataFrame:
+    """The instants (key, ms) at which a new window opens. Each round doubles the length of the chain
+    that is known and of the jumps, until no jump is left that stays inside the history."""
     jumps = settle(_successors(instants, width).filter("jump is not null"))
-    starts = settle(instants.groupBy("key").agg(F.min("ms").alias("ms")))
-    size = starts.count()
-    for _ in range(max_rounds):
+    starts = instants.groupBy("key").agg(F.min("ms").alias("ms"))
+    while not jumps.isEmpty():
         reached = starts.join(jumps, ["key", "ms"]).select("key", F.col("jump").alias("ms"))
         starts = settle(starts.unionByName(reached).distinct())
-        grown = starts.count()
-        if grown == size:
-            return starts
-        size = grown
         onward = jumps.select("key", F.col("ms").alias("jump"), F.col("jump").alias("far"))
         jumps = settle(jumps.join(onward, ["key", "jump"]).select("key", "ms", F.col("far").alias("jump")))
-    raise RuntimeError(f"window chain did not settle within {max_rounds} rounds")
+    return starts
 
 
 def rate_limit(

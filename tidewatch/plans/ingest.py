@@ -41,13 +41,10 @@ def feed_payloads(spark, d):
     return p.select(F.col("page_id").alias("source_id"), F.when(kind == 0, rss).when(kind == 1, atom).otherwise(rdf).alias("payload"))
 
 
-_CUT = f"CASE WHEN length(t) > 12000 THEN regexp_replace(substr(t, 1, 12000), '{W}+$', '') || '…' ELSE t END"
-
-
 @query("s1_feed_items", f"""
 WITH p AS (SELECT page_id, url, {html_text_sql("regexp_extract(html, '<title>(.*?)</title>', 1, 's')")} AS title, {html_text_sql('html')} AS t FROM pages)
 SELECT page_id AS source_id, CASE page_id % 3 WHEN 2 THEN url ELSE 'g-' || page_id END AS external_id, url, title,
-  CASE page_id % 3 WHEN 0 THEN 'Ann' WHEN 1 THEN 'Bob' END AS author, sha256({_CUT}) AS content_hash,
+  CASE page_id % 3 WHEN 0 THEN 'Ann' WHEN 1 THEN 'Bob' END AS author, sha256(t) AS content_hash,
   CASE page_id % 3 WHEN 0 THEN epoch_us(TIMESTAMP '2024-01-01 10:00:00') WHEN 1 THEN epoch_us(TIMESTAMP '2024-01-02 03:04:05')
     ELSE epoch_us(TIMESTAMP '2024-01-02 23:00:00') END AS at_us, NULL AS reject_reason FROM p
 UNION ALL SELECT page_id, NULL, NULL, NULL, NULL, sha256('lost'), NULL, 'entry without a usable title or link' FROM pages WHERE page_id % 3 = 0""")
@@ -141,7 +138,7 @@ def _(spark, d):
 WITH {SIGNALS_SQL}, c AS (SELECT source_id, TIMESTAMP '2024-01-20 00:00:00' + INTERVAL (source_id) HOUR - INTERVAL 24 HOUR AS since FROM sources WHERE source_id <> 3),
 f AS (SELECT e.id, e.source_id, row_number() OVER (PARTITION BY e.source_id ORDER BY coalesce(epoch_us(published_at), 0) DESC, e.id) AS r
   FROM every_signal e LEFT JOIN c USING (source_id) WHERE since IS NULL OR published_at IS NULL OR published_at > since)
-SELECT id, source_id, r::BIGINT AS batch_rank FROM f WHERE r <= 50""")
+SELECT id, source_id, r::BIGINT AS batch_rank FROM f""")
 def _(spark, d):
     s = sources(spark, d).withColumn(
         "last_fetched_at",

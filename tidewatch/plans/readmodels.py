@@ -8,6 +8,7 @@ from tidewatch.operators import cards, evidence, notify, ranking
 from tidewatch.operators.sequence import top_per_key
 from tidewatch.plans.changes import CHANGES_SQL, event_rows
 from tidewatch.plans.registry import query
+from tidewatch.schemas import PAGE_SCAN_CHARS
 from tidewatch.plans.scalar import html_text_sql
 from tidewatch.plans.views import FOCUS, NOW_SQL, NOW_TEXT, SIGNALS_SQL, now, raw_items, signals, sql_collapse, table
 from tidewatch.functions.text import html_to_text
@@ -191,7 +192,7 @@ def _(spark, d):
     host = F.split_part(F.regexp_extract("url", "://([^/]*)", 1), F.lit("."), F.lit(1))
     before = p.select((F.col("page_id") + 1).alias("page_id"), title.alias("title"))
     rows = p.select("page_id", html_to_text(F.col("html")).alias("text"), F.concat(F.lit("thth "), host).alias("vendor")).join(before, "page_id")
-    return rows.select("page_id", ranking.page_verdict(F.col("text"), F.col("title"), F.col("vendor")).alias("url_status"))
+    return rows.select("page_id", ranking.page_verdict(F.col("text"), F.col("title"), F.col("vendor"), PAGE_SCAN_CHARS).alias("url_status"))
 
 
 @query("t5_alert_rows", f"""WITH {BRIEF_SQL} SELECT id, '[impact ' || impact_score || '] ' || title || CASE WHEN vendor IS NULL THEN '' ELSE ' — ' || vendor END AS headline,
@@ -331,7 +332,7 @@ def _(spark, d):
 @query("j6_a9_corroboration", """WITH v AS MATERIALIZED (SELECT vec_id, label, CASE WHEN vec_id % 50 <> 0 THEN vec_id END AS ts0, CASE WHEN vec_id % 6 = 0 THEN 'primary' ELSE 'secondary' END AS tier, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
 p AS (SELECT q.vec_id AS id, c.vec_id AS other, c.tier, round(1 - list_distance(q.e, c.e) * list_distance(q.e, c.e) / 2, 9) AS sim FROM v q JOIN v c ON c.label = q.label AND c.vec_id <> q.vec_id
   AND (q.ts0 IS NULL OR c.ts0 IS NULL OR abs(q.ts0 - c.ts0) <= 168)),
-g AS (SELECT id, least(count(*), 30) AS n, max(sim) AS best, bool_or(tier = 'primary') AS p FROM p WHERE sim >= 0.15 GROUP BY 1)
+g AS (SELECT id, count(*) AS n, max(sim) AS best, bool_or(tier = 'primary') AS p FROM p WHERE sim >= 0.15 GROUP BY 1)
 SELECT v.vec_id AS raw_item_id, CASE WHEN tier = 'primary' THEN 'primary-source' WHEN g.p THEN 'primary-confirmed' WHEN g.n > 0 THEN 'secondary-corroborated' ELSE 'single-source' END AS status,
   coalesce(g.n, 0) AS corroborators, g.best FROM v LEFT JOIN g ON g.id = v.vec_id""")
 def _(spark, d):
@@ -505,8 +506,9 @@ def _(spark, d):
 @query("j9_r6_digest_rows", f"WITH {MATCH_SQL} SELECT sid AS subscription_id, id, rank FROM digest")
 def _(spark, d):
     on = notify.clean_rules(rules(spark, d)).filter("enabled")
-    rows = notify.undelivered(notify.match(signals(spark, d), on), ledger(spark, d))
-    return notify.digest_rows(rows).select("subscription_id", "id", "rank")
+    rows, sent = signals(spark, d), ledger(spark, d)
+    matches = notify.match(rows, notify.narrowed(rows, on, sent))
+    return notify.digest_rows(notify.undelivered(matches, sent)).select("subscription_id", "id", "rank")
 
 
 _BLOCK = "'[' || impact_score || '] ' || title || chr(10) || coalesce(vendor || ' · ', '') || category || chr(10) || 'Why it matters — ' || why_it_matters || chr(10) || 'https://app/insights/' || id"
@@ -544,9 +546,11 @@ def _(spark, d):
 
 
 @query("t4_previews", f"""WITH {MATCH_SQL}, hit AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY impact_score DESC, coalesce(epoch_us(published_at), 0) DESC, id DESC) AS rank FROM matches QUALIFY rank <= 12),
-newest AS (SELECT *, row_number() OVER (ORDER BY published_at DESC NULLS LAST, id DESC) AS rank FROM signals QUALIFY rank <= 3)
-SELECT sid AS subscription_id, false AS sample, count(*) AS items, array_to_string(list(id ORDER BY rank), ',') AS ids FROM hit GROUP BY 1
-UNION ALL SELECT sid, true, 3, (SELECT array_to_string(list(id ORDER BY rank), ',') FROM newest) FROM rules WHERE sid NOT IN (SELECT sid FROM matches)""")
+newest AS (SELECT *, row_number() OVER (ORDER BY published_at DESC NULLS LAST, id DESC) AS rank FROM signals QUALIFY rank <= 3),
+shown AS (SELECT sid, false AS sample, count(*) AS n, array_to_string(list(id ORDER BY rank), ',') AS ids, array_to_string(list({_BLOCK} ORDER BY rank), chr(10)) AS body FROM hit GROUP BY 1
+  UNION ALL SELECT sid, true, 3, ids, body FROM rules, (SELECT array_to_string(list(id ORDER BY rank), ',') AS ids, array_to_string(list({_BLOCK} ORDER BY rank), chr(10)) AS body FROM newest) WHERE sid NOT IN (SELECT sid FROM matches))
+SELECT g.sid AS subscription_id, sample, n AS items, ids, {_digest_text('n', "CASE WHEN sample THEN 'Digest — sample alert for: ' ELSE 'Digest — ' || n || ' insight' || CASE WHEN n = 1 THEN '' ELSE 's' END || ' for: ' END || r.label")} AS text
+FROM shown g JOIN described r ON r.sid = g.sid""")
 def _(spark, d):
     out = notify.previews(signals(spark, d), notify.clean_rules(rules(spark, d)), "https://app")
-    return out.select("subscription_id", "sample", "items", F.array_join("item_ids", ",").alias("ids"))
+    return out.select("subscription_id", "sample", "items", F.array_join("item_ids", ",").alias("ids"), "text")

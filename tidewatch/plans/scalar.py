@@ -57,13 +57,13 @@ def _(spark, d):
 
 
 @query("x7_entities", """
-SELECT event_id, 'a ' || user_id || ' < b &unknown; ' || chr(65 + (user_id % 26)::INT) || chr(97 + (user_id % 26)::INT) || ' &lt; — x&y' AS decoded FROM events""")
+SELECT event_id, 'a ' || user_id || ' < b &unknown; ' || chr(65 + (user_id % 26)::INT) || chr(97 + (user_id % 26)::INT) || ' &lt; — x&y A' || chr(8364) || ' &#99999999999;' AS decoded FROM events""")
 def _(spark, d):
     e = table(spark, d, "events")
     code = F.lit(65) + (F.col("user_id") % 26)
     coded = F.concat(
         F.lit("a "), F.col("user_id").cast("string"), F.lit(" &lt; b &unknown; &#"), code.cast("string"), F.lit(";&#x"),
-        F.lower(F.hex(code + 32)), F.lit("; &amp;lt; &MDASH; x&y"),
+        F.lower(F.hex(code + 32)), F.lit("; &amp;lt; &MDASH; x&y &#0000000000065;&#x00000000000020ac; &#99999999999;"),
     )
     return e.select("event_id", text.decode_entities(coded).alias("decoded"))
 
@@ -284,6 +284,6 @@ def _(spark, d):
 
 @query("n1_normalise_title", f"""
 WITH t AS (SELECT doc_id, {sql_trim('text')} AS r FROM documents)
-SELECT doc_id, {sql_collapse(f"substr(CASE WHEN regexp_matches(r, '^.*?[.!?]({W}|$)') THEN " + sql_trim(f"regexp_extract(r, '^(.*?[.!?])({W}|$)', 1)") + " ELSE r END, 1, 80)")} AS title FROM t""")
+SELECT doc_id, {sql_collapse(f"CASE WHEN regexp_matches(r, '^.*?[.!?]({W}|$)') THEN " + sql_trim(f"regexp_extract(r, '^(.*?[.!?])({W}|$)', 1)") + " ELSE r END")} AS title FROM t""")
 def _(spark, d):
     return items(spark, d).select(F.col("raw_item_id").alias("doc_id"), text.collapse(F.col("title")).alias("title"))

@@ -82,7 +82,7 @@ def _(spark, d):
     landed = docs.select(
         F.col("source").alias("source_id"), F.col("doc_id").alias("seq"),
         F.concat(F.lit("HTTPS://www.Example.com/"), "source", F.lit("/"), F.col("n_chars").cast("string"), F.lit("/?utm_source=feed&b=2&a=1#top")).alias("url"),
-        F.substring(first_sentence(F.col("text")), 1, 80).alias("title"), F.col("text").alias("content"), F.lit(None).cast("string").alias("author"),
+        first_sentence(F.col("text")).alias("title"), F.col("text").alias("content"), F.lit(None).cast("string").alias("author"),
         F.lit(None).cast("timestamp").alias("published_at"),
     )
     folder = run_dir(spark, "ingest")

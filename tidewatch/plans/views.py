@@ -171,7 +171,7 @@ def items(spark: SparkSession, d: str) -> DataFrame:
         F.concat(
             F.lit("HTTPS://www.Example.com/"), "source", F.lit("/"), F.col("n_chars").cast("string"), F.lit("/?utm_source=feed&b=2&a=1#top")
         ).alias("url"),
-        F.substring(first_sentence(F.col("text")), 1, 80).alias("title"),
+        first_sentence(F.col("text")).alias("title"),
         F.col("text").alias("content"),
         F.lit("  ").alias("author"),
         "lang",
@@ -181,7 +181,7 @@ def items(spark: SparkSession, d: str) -> DataFrame:
 ITEMS_SQL = f"""items AS (
   SELECT doc_id AS raw_item_id, source AS source_id, doc_id AS seq, n_chars,
     'https://example.com/' || source || '/' || n_chars || '?a=1&b=2' AS canonical_url,
-    {sql_collapse("substr(CASE WHEN regexp_matches(" + sql_trim('text') + ", '^.*?[.!?](" + W + "|$)') THEN " + sql_trim("regexp_extract(" + sql_trim('text') + ", '^(.*?[.!?])(" + W + "|$)', 1)") + " ELSE " + sql_trim('text') + " END, 1, 80)")} AS title,
+    {sql_collapse("CASE WHEN regexp_matches(" + sql_trim('text') + ", '^.*?[.!?](" + W + "|$)') THEN " + sql_trim("regexp_extract(" + sql_trim('text') + ", '^(.*?[.!?])(" + W + "|$)', 1)") + " ELSE " + sql_trim('text') + " END")} AS title,
     {sql_trim('text')} AS content, lang
   FROM documents),
 hashed AS MATERIALIZED (

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.text import html_to_text, parse_date, trim_all, truncate
 from tidewatch.functions.urls import repo_locator
-from tidewatch.operators.sequence import top_per_key
-from tidewatch.schemas import CVE_PAYLOAD, MAX_ITEMS_PER_SOURCE, RELEASE_PAYLOAD
+from tidewatch.schemas import CVE_PAYLOAD, RELEASE_PAYLOAD
 
 ITEM_COLUMNS = ["source_id", "position", "external_id", "url", "title", "author", "content", "published_at"]
 
@@ -24,14 +23,20 @@ _RSS_ITEM = f"""struct<
 _ENTRY = r"(?is)<(item|entry)(?:\s[^>]*)?>.*?</\1\s*>"
 
 
+def _body(text: Column, max_chars: int | None) -> Column:
+    """The whole text, or its start where the caller asks for a cut."""
+    return text if max_chars is None else truncate(text, max_chars)
+
+
 def _present(c: Column) -> Column:
     text = trim_all(c)
     return F.when(text != "", text)
 
 
-def feed_items(payloads: DataFrame) -> DataFrame:
+def feed_items(payloads: DataFrame, max_chars: int | None = None) -> DataFrame:
     """RSS 2.0, RDF and Atom entries in one shape. Each entry is cut from the document and parsed
-    on its own, so one broken entry costs one row. ``payloads``: source_id, payload."""
+    on its own, so one broken entry costs one row. ``payloads``: source_id, payload. Bodies stay whole
+    unless ``max_chars`` is given."""
     entries = payloads.select(
         "source_id", F.posexplode(F.regexp_extract_all("payload", F.lit(_ENTRY), F.lit(0))).alias("position", "xml")
     )
@@ -74,7 +79,7 @@ def feed_items(payloads: DataFrame) -> DataFrame:
             address.alias("url"),
             _present(first("title")).alias("title"),
             author.alias("author"),
-            truncate(html_to_text(F.coalesce(body, F.lit("")))).alias("content"),
+            _body(html_to_text(F.coalesce(body, F.lit(""))), max_chars).alias("content"),
             parse_date(dated).alias("published_at"),
         )
         .withColumn(
@@ -85,7 +90,7 @@ def feed_items(payloads: DataFrame) -> DataFrame:
     )
 
 
-def release_items(payloads: DataFrame, include_prereleases: Column | None = None) -> DataFrame:
+def release_items(payloads: DataFrame, include_prereleases: Column | None = None, max_chars: int | None = None) -> DataFrame:
     """Release lists of a repository. ``payloads``: source_id, locator, payload."""
     prereleases = F.lit(False) if include_prereleases is None else include_prereleases
     rows = payloads.select(
@@ -108,12 +113,12 @@ def release_items(payloads: DataFrame, include_prereleases: Column | None = None
         F.col("r.html_url").alias("url"),
         F.concat_ws(" ", "repo", name).alias("title"),
         F.col("r.author.login").alias("author"),
-        truncate(body).alias("content"),
+        _body(body, max_chars).alias("content"),
         parse_date(F.coalesce("r.published_at", "r.created_at")).alias("published_at"),
     )
 
 
-def advisory_items(payloads: DataFrame, min_score: Column | None = None) -> DataFrame:
+def advisory_items(payloads: DataFrame, min_score: Column | None = None, max_chars: int | None = None) -> DataFrame:
     """Vulnerability pages. ``payloads``: source_id, payload. Unscored entries always stay."""
     floor = F.lit(None).cast("double") if min_score is None else min_score
     rows = payloads.select(
@@ -142,7 +147,7 @@ def advisory_items(payloads: DataFrame, min_score: Column | None = None) -> Data
         F.concat(F.lit("https://nvd.nist.gov/vuln/detail/"), "c.id").alias("url"),
         F.concat(F.col("c.id"), F.lit(" ("), heading, F.lit(")")).alias("title"),
         F.lit(None).cast("string").alias("author"),
-        truncate(content).alias("content"),
+        _body(content, max_chars).alias("content"),
         parse_date(F.coalesce("c.published", "c.lastModified")).alias("published_at"),
     )
 
@@ -184,15 +189,21 @@ def check_config(sources: DataFrame) -> DataFrame:
     )
 
 
-def incremental(items: DataFrame, cursors: DataFrame, key: str = "source_id", limit: int = MAX_ITEMS_PER_SOURCE,
+def incremental(items: DataFrame, cursors: DataFrame, key: str = "source_id", limit: int | None = None,
                 tie: str = "position") -> DataFrame:
-    """Rows newer than the source's cursor (strictly) or undated, newest first, capped per source.
-    ``cursors``: key, since (null = no bound)."""
+    """Rows newer than the source's cursor (strictly) or undated, newest first. ``cursors``: key, since
+    (null = no bound). With a ``limit`` a source hands over its *oldest* dated rows first, so that the
+    cursor can follow them (see :func:`advance_cursor`) and nothing is passed over."""
     fresh = items.join(cursors.select(key, "since"), key, "left").filter(
         F.col("since").isNull() | F.col("published_at").isNull() | (F.col("published_at") > F.col("since"))
     )
     newest = F.desc(F.coalesce(F.unix_micros("published_at"), F.lit(0)))
-    return top_per_key(fresh, [key], [newest, F.col(tie)], limit, "batch_rank").drop("since")
+    if limit is not None:
+        # Rows of one instant go together: the cursor cannot stop between them.
+        nth = F.rank().over(Window.partitionBy(key).orderBy(F.asc_nulls_last("published_at")))
+        fresh = fresh.withColumn("_nth", nth).filter(F.col("_nth") <= limit).drop("_nth")
+    w = Window.partitionBy(key).orderBy(newest, F.col(tie))
+    return fresh.withColumn("batch_rank", F.row_number().over(w)).drop("since")
 
 
 def rewind(sources: DataFrame, hours: int = 24) -> DataFrame:
@@ -200,14 +211,16 @@ def rewind(sources: DataFrame, hours: int = 24) -> DataFrame:
     return sources.withColumn("since", F.col("last_fetched_at") - F.expr(f"interval {hours} hours"))
 
 
-def advance_cursor(sources: DataFrame, report: DataFrame, started_at: Column) -> DataFrame:
-    """Move the cursor to the start of the run, for sources that succeeded."""
+def advance_cursor(sources: DataFrame, report: DataFrame, started_at: Column, taken: DataFrame | None = None) -> DataFrame:
+    """Move the cursor to the start of the run, for sources that succeeded. ``taken``: what a limited
+    :func:`incremental` handed over; a source that is in it only moves to the newest of its rows."""
     ok = report.filter("status = 'ok'").select("source_id", F.lit(True).alias("_ok"))
-    return (
-        sources.join(ok, "source_id", "left")
-        .withColumn("last_fetched_at", F.when(F.col("_ok"), started_at).otherwise(F.col("last_fetched_at")))
-        .drop("_ok")
-    )
+    moved = sources.join(ok, "source_id", "left")
+    to = started_at
+    if taken is not None:
+        moved = moved.join(taken.groupBy("source_id").agg(F.max("published_at").alias("_seen"), F.lit(True).alias("_some")), "source_id", "left")
+        to = F.when(F.col("_some"), F.least(F.coalesce("_seen", "last_fetched_at"), started_at)).otherwise(started_at)
+    return moved.withColumn("last_fetched_at", F.when(F.col("_ok"), to).otherwise(F.col("last_fetched_at"))).select(*sources.columns)
 
 
 def select_sources(sources: DataFrame, kind: str | None = None, match: str | None = None) -> DataFrame:
