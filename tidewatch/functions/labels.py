@@ -25,6 +25,13 @@ def resolve_vendor(vendors: Column, source_vendor: Column) -> Column:
     return F.coalesce(F.try_element_at(vendors, F.lit(1)), source_vendor)
 
 
+def resolve_head_vendor(raw: Column, source_vendor: Column) -> Column:
+    """The other rule in use: the first element of the JSON list counts only if it is a string."""
+    head = F.try_variant_get(F.try_parse_json(raw), "$[0]", "variant")
+    name = F.when(F.schema_of_variant(head) == "STRING", F.try_variant_get(F.try_parse_json(raw), "$[0]", "string"))
+    return F.coalesce(name, source_vendor)
+
+
 def impact_label(c: Column) -> Column:
     out = F.lit("Unscored")
     for score, label in IMPACT_LABELS.items():

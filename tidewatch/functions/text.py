@@ -177,8 +177,12 @@ def parse_date(c: Column) -> Column:
     )
 
 
-def date_from_epoch(c: Column) -> Column:
-    return F.timestamp_millis(c.cast("bigint"))
+def instant(value: Column, dtype: str) -> Column:
+    """A date field of either kind: numbers are milliseconds since the epoch, texts are parsed."""
+    if dtype in ("tinyint", "smallint", "int", "bigint", "float", "double") or dtype.startswith("decimal"):
+        ms = value.cast("double")
+        return F.when(F.abs(ms) <= 8.64e15, F.timestamp_millis(ms.cast("bigint")))
+    return parse_date(value)
 
 
 def sentences(c: Column) -> Column:

@@ -11,7 +11,8 @@ from tidewatch.operators.sequence import latest_per_key
 from tidewatch.plans.registry import query
 from tidewatch.plans.scalar import html_text_sql
 from tidewatch.plans.views import ITEMS_SQL, SIGNALS_SQL, SOURCES_SQL, W, items, raw_items, sources, table
-from tidewatch.session import settle
+from tidewatch.session import run_dir, settle
+from tidewatch.sources import assets
 from tidewatch.sources import payloads as pay
 
 
@@ -183,9 +184,9 @@ def _(spark, d):
     return sinks.sync_catalog(stored.unionByName(gone), catalog).select("kind", "url", "name", "vendor", "enabled")
 
 
-@query("p15_source_filter", f"WITH {SOURCES_SQL} SELECT source_id, name FROM sources WHERE kind = 'rss' AND contains(lower(name || ' ' || url), 'an')")
+@query("p15_source_filter", f"WITH {SOURCES_SQL} SELECT source_id, name FROM sources WHERE kind = 'rss' AND contains(lower(name || ' ' || url), 'nation_1')")
 def _(spark, d):
-    return pay.select_sources(sources(spark, d), kind="rss", match="AN").select("source_id", "name")
+    return pay.select_sources(sources(spark, d), kind="rss", match="Nation_1").select("source_id", "name")
 
 
 @query("s9_upsert_latest", """
@@ -208,6 +209,24 @@ def _(spark, d):
     return sinks.append_new(ledger, pairs.drop("l_returnflag"), ["subscription_id", "item_id"]).select("item_id", "subscription_id")
 
 
+@query("s13_labelled_pairs", """
+SELECT d.doc_id::VARCHAR AS id, sha256(coalesce(p.text, '-')) AS prior_hash, sha256(coalesce(d.text, '-')) AS next_hash, d.source = p.source AS revised, CASE WHEN p.text IS NULL THEN 'new' ELSE 'update' END AS expected
+FROM documents d LEFT JOIN documents p ON p.doc_id = d.doc_id - 1""")
+def _(spark, d):
+    docs = table(spark, d, "documents")
+    before = docs.select((F.col("doc_id") + 1).alias("doc_id"), F.col("text").alias("prior"), F.col("source").alias("_s"))
+    pairs = docs.join(before, "doc_id", "left").select(
+        F.col("doc_id").cast("string").alias("id"), "prior", F.col("text").alias("next"), (F.col("source") == F.col("_s")).alias("revised"),
+        F.when(F.col("prior").isNull(), "new").otherwise("update").alias("expectedKind"),
+    )
+    path = run_dir(spark, "pairs")
+    pairs.write.json(path)
+    got = assets.read_change_pairs(spark, path, lines=True)
+    return got.select(
+        "id", F.sha2(F.coalesce("prior", F.lit("-")), 256).alias("prior_hash"), F.sha2(F.coalesce("next", F.lit("-")), 256).alias("next_hash"), "revised", F.col("expectedKind").alias("expected")
+    )
+
+
 @query("s11_snapshot_replay", f"""
 WITH {ITEMS_SQL}, s AS (SELECT h.raw_item_id, CASE WHEN quality = 1 THEN upper(lang) END AS previous FROM items h LEFT JOIN labels l ON l.doc_id = h.raw_item_id)
 SELECT 1 AS pass, raw_item_id, previous AS lang FROM s WHERE previous IS NOT NULL AND raw_item_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)

@@ -76,6 +76,31 @@ def _(spark, d):
     return t.select("doc_id", F.length("t").cast("bigint").alias("n"), F.sha2("t", 256).alias("h"))
 
 
+@query("x9_epoch_numbers", """
+SELECT o_orderkey, epoch_us(o_orderdate) // 1000 * 1000 AS at_us, CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE epoch_us(date_trunc('second', o_orderdate)) END AS text_us FROM orders""")
+def _(spark, d):
+    o = table(spark, d, "orders")
+    rows = o.select(
+        "o_orderkey", F.unix_millis("o_orderdate").cast("double").alias("number"),
+        F.when(F.col("o_custkey") % 3 != 0, F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise("never").alias("spelled"),
+    )
+    kinds = dict(rows.dtypes)
+    return rows.select(
+        "o_orderkey", F.unix_micros(text.instant(F.col("number"), kinds["number"])).alias("at_us"), F.unix_micros(text.instant(F.col("spelled"), kinds["spelled"])).alias("text_us")
+    )
+
+
+@query("x2_head_vendor", """
+SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'v' || c_nationkey WHEN 1 THEN 'src' || c_nationkey WHEN 2 THEN 'src' || c_nationkey WHEN 3 THEN 'src' || c_nationkey ELSE 'a' END AS head,
+  CASE c_custkey % 5 WHEN 0 THEN 'v' || c_nationkey WHEN 1 THEN 'A' WHEN 2 THEN 'src' || c_nationkey WHEN 3 THEN 'src' || c_nationkey ELSE 'a' END AS first_string FROM customer""")
+def _(spark, d):
+    c = table(spark, d, "customer")
+    k, n = F.col("c_custkey") % 5, F.col("c_nationkey").cast("string")
+    raw = F.when(k == 0, F.concat(F.lit('["v'), n, F.lit('", "x"]'))).when(k == 1, '[1, "A"]').when(k == 2, "[]").when(k == 3, "{broken").otherwise('["a", 2]')
+    own = F.concat(F.lit("src"), n)
+    return c.select("c_custkey", labels.resolve_head_vendor(raw, own).alias("head"), labels.resolve_vendor(labels.string_array(raw), own).alias("first_string"))
+
+
 @query("x9_parse_date", """
 SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' OR o_orderpriority LIKE '4%' THEN NULL ELSE epoch_us(date_trunc('day', o_orderdate)) END AS at_us FROM orders""")
 def _(spark, d):

@@ -61,6 +61,7 @@ def matrix_problems(matrix: DataFrame) -> DataFrame:
     return levels.unionByName(bad_axes).unionByName(vendors)
 
 
-def read_change_pairs(spark: SparkSession, path: str) -> DataFrame:
+def read_change_pairs(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Labelled pairs from one JSON array per file, or from one object per line, which splits."""
     schema = "id string, note string, prior string, next string, revised boolean, expectedKind string"
-    return spark.read.schema(schema).json(path, multiLine=True)
+    return spark.read.schema(schema).json(path, multiLine=not lines)
