@@ -126,14 +126,18 @@ def classify_against_priors(fresh: DataFrame, priors: DataFrame, threshold: floa
     ).drop("prior_summary", "prior_title")
 
 
-def fact_chain(events: DataFrame, slot_seconds: int = 86_400) -> DataFrame:
+def fact_chain(events: DataFrame, slot_seconds: int = 86_400, run_at: Column | None = None) -> DataFrame:
     """Replay dated change events into vendor facts.
 
     events: item_id (one event per item), vendor, dimension, kind, after, at. On a full replay every
     fact-making event is the newest of its (vendor, dimension), so an ``update`` supersedes exactly
     the fact before it. Facts: fact_id (= the evidence item), vendor, dimension, fact, valid_from,
     kind, previous_fact_id, superseded_by, superseded_at.
+
+    Undated items hold from ``run_at``, the time of the run; without it they make no fact.
     """
+    if run_at is not None:
+        events = events.withColumn("at", F.coalesce("at", run_at))
     made = events.filter(
         F.col("vendor").isNotNull() & F.col("kind").isin("new", "update") & F.col("at").isNotNull()
     )

@@ -10,7 +10,7 @@ from tidewatch.operators.contradiction import NEGATIONS, POLARITY, STOPWORDS, _s
 from tidewatch.operators.sequence import top_per_key
 from tidewatch.plans.gates import TURN_PAIRS_SQL, turn_pairs
 from tidewatch.plans.registry import query
-from tidewatch.plans.views import SIGNALS_SQL, signals, sql_collapse, sql_fold, sql_sentences, sql_trim, table
+from tidewatch.plans.views import NOW_SQL, SIGNALS_SQL, now, signals, sql_collapse, sql_fold, sql_sentences, sql_trim, table
 
 
 def _missing_sql(these: str, others: str) -> str:
@@ -147,6 +147,13 @@ def _(spark, d):
     )
 
 
+@query("d5_undated_facts", f"""WITH {CHANGES_SQL}, dated AS (SELECT *, coalesce(ts0, {NOW_SQL}) AS at0 FROM change_rows WHERE vendor IS NOT NULL AND kind IN ('new', 'update'))
+SELECT item_id AS fact_id, epoch_us(at0) AS from_us, CASE WHEN kind = 'update' THEN lag(item_id) OVER w END AS previous_fact_id, CASE WHEN lead(kind) OVER w = 'update' THEN lead(item_id) OVER w END AS superseded_by
+FROM dated WINDOW w AS (PARTITION BY vendor, dimension ORDER BY at0, item_id)""")
+def _(spark, d):
+    return changes.fact_chain(change_rows(spark, d), run_at=now()).select("fact_id", F.unix_micros("valid_from").alias("from_us"), "previous_fact_id", "superseded_by")
+
+
 @query("d5_restatement_links", f"WITH {CHANGES_SQL} SELECT item_id, previous_fact_id FROM links")
 def _(spark, d):
     rows = change_rows(spark, d)
