@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from tidewatch.operators.rate import rate_limit
 from tidewatch.plans.ingest import GLOBAL_DEDUPE_SQL
 from tidewatch.plans.registry import query
-from tidewatch.plans.views import table
-from tidewatch.session import run_dir
+from tidewatch.plans.views import items, table
+from tidewatch.operators import ingest as ing
+from tidewatch.session import run_dir, settle
 from tidewatch.streaming import ingest as flow
 from tidewatch.streaming import state
 from tidewatch.functions.text import first_sentence
@@ -76,6 +77,48 @@ def _(spark, d):
     return out.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
 
 
+@query("w2_overlap_reread", "SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def _(spark, d):
+    """Three landings under a 24 h watermark: the second lands the last hours of the first again, which
+    the kept keys drop, and the third all of the first, which is too late by then."""
+    e = table(spark, d, "events").select("user_id", "event_type", F.sha2(F.col("event_id").cast("string"), 256).alias("url_hash"), "ts")
+    first, second = (F.lit(t).cast("timestamp") for t in ("2024-01-11", "2024-01-21"))
+    folder = run_dir(spark, "overlap")
+    landings = [
+        e.filter(F.col("ts") < first),
+        e.filter((F.col("ts") >= first - F.expr("interval 12 hours")) & (F.col("ts") < second)),
+        e.filter((F.col("ts") >= second) | (F.col("ts") < first)),
+    ]
+    for landing in landings:
+        landing.write.mode("append").parquet(f"{folder}/landed")
+        out = _drain(flow.drop_reseen(flow.landed(spark, f"{folder}/landed", e.schema), "ts", "24 hours"), folder)
+    return out.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+
+
+@query("w1_three_landings", f"""WITH RECURSIVE {GLOBAL_DEDUPE_SQL},
+third AS (SELECT CASE WHEN status <> 'duplicate' THEN 'unchanged' WHEN EXISTS (SELECT 1 FROM base t WHERE t.content_hash = c.content_hash AND t.url_hash NOT IN (SELECT url_hash FROM revising)) THEN 'duplicate' ELSE 'inserted' END AS status FROM classified c)
+SELECT 0::BIGINT AS landing, 'inserted' AS status, count(*)::BIGINT AS n FROM base
+UNION ALL SELECT 1, status, count(*) FROM classified GROUP BY ALL UNION ALL SELECT 2, status, count(*) FROM third GROUP BY ALL""")
+def _(spark, d):
+    """Labelled documents land first, some under another address or with another wording; then every
+    document; then, as in an overlapping fetch, every document again. Each landing is a micro-batch
+    of its own, resumed from the checkpoint, that reads the log the ones before it left."""
+    raw = items(spark, d).withColumn("published_at", F.lit(None).cast("timestamp"))
+    kept = settle(ing.first_wins(settle(ing.accepted(ing.normalise(raw)).select("seq", "url_hash", "content_hash")), "seq").select("seq"))
+    lab = table(spark, d, "labels").select(F.col("doc_id").alias("seq"), "toxic", "quality")
+    reworded = (F.col("toxic") == 1) | (F.col("quality") == 0)
+    earlier = raw.join(kept, "seq").join(lab, "seq").withColumns(
+        {"content": F.when(reworded, F.concat("content", F.lit(" reworded"))).otherwise(F.col("content")), "url": F.when(F.col("seq") % 5 == 0, F.concat(F.lit("https://moved.example.com/"), F.sha2("url", 256))).otherwise(F.col("url"))}
+    )
+    folder = run_dir(spark, "landings")
+    for landing in (earlier.select(*raw.columns), raw, raw):
+        landing.write.mode("append").parquet(f"{folder}/landed")
+        stream = flow.landed(spark, f"{folder}/landed", raw.schema)
+        flow.start_ingest(stream, f"{folder}/log", f"{folder}/report", f"{folder}/checkpoint").awaitTermination()
+    report = spark.read.parquet(f"{folder}/report")
+    return report.groupBy(F.col("batch").cast("bigint").alias("landing"), "status").agg(F.sum("n").alias("n"))
+
+
 @query("w1_continuous_ingest", f"WITH RECURSIVE {GLOBAL_DEDUPE_SQL} SELECT source_id, url_hash, content_hash FROM batch")
 def _(spark, d):
     docs = _stream(spark, d, "documents")

@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidewatch.operators.ingest import accepted, classify_upsert, first_wins, normalise
 from tidewatch.operators.sequence import latest_per_key
+from tidewatch.session import settle
 
 LOG_COLUMNS = ["source_id", "url_hash", "content_hash", "canonical_url", "url", "title", "author", "content", "published_at", "seq"]
 
@@ -60,7 +61,7 @@ def revisions(log: DataFrame) -> DataFrame:
 def ingest_batch(batch: DataFrame, batch_id: int, log_path: str, report_path: str) -> None:
     """One micro-batch: normalise, first-wins dedupe, upsert against the log, append."""
     spark = batch.sparkSession
-    items = accepted(normalise(batch))
+    items = settle(accepted(normalise(batch)))
     kept = first_wins(items, "seq")
     log = read_log(spark, log_path, before=batch_id)
     if log is None:
@@ -69,7 +70,7 @@ def ingest_batch(batch: DataFrame, batch_id: int, log_path: str, report_path: st
         stored = latest_per_key(
             log.select("url_hash", "content_hash", "batch", "seq"), ["url_hash"], [F.col("batch"), F.col("seq")]
         ).select("url_hash", "content_hash")
-    classified = classify_upsert(stored, kept)
+    classified = settle(classify_upsert(stored, kept))
     report = classified.groupBy("source_id", "status").agg(F.count("*").alias("n"))
     report.write.mode("overwrite").parquet(f"{report_path}/batch={batch_id}")
     fresh = classified.filter("status in ('inserted', 'revised')").select(*LOG_COLUMNS)
