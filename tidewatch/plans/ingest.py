@@ -227,24 +227,6 @@ def _(spark, d):
     )
 
 
-@query("s11_snapshot_replay", f"""
-WITH {ITEMS_SQL}, s AS (SELECT h.raw_item_id, CASE WHEN quality = 1 THEN upper(lang) END AS previous FROM items h LEFT JOIN labels l ON l.doc_id = h.raw_item_id)
-SELECT 1 AS pass, raw_item_id, previous AS lang FROM s WHERE previous IS NOT NULL AND raw_item_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)
-UNION ALL SELECT 2, raw_item_id, lang FROM items""")
-def _(spark, d):
-    lab = table(spark, d, "labels")
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("url"), F.lit("t").alias("title"), F.col("lang").alias("content"))
-    earlier = lab.filter("quality = 1").select(F.col("doc_id").alias("url"), F.lit(True).alias("had"))
-    snap = docs.join(earlier, "url", "left").withColumns(
-        {"previous_content": F.when(F.col("had"), F.upper("content")), "previous_title": F.lit(None).cast("string")}
-    ).drop("had")
-    stored = lab.filter("toxic = 1").select(F.col("doc_id").alias("url"))
-    first, second = sinks.replay_plan(snap, stored)
-    return first.select(F.lit(1).alias("pass"), F.col("url").alias("raw_item_id"), F.col("content").alias("lang")).unionByName(
-        second.select(F.lit(2).alias("pass"), F.col("url").alias("raw_item_id"), F.col("content").alias("lang"))
-    )
-
-
 def normalised(spark, d):
     return ing.normalise(items(spark, d))
 
@@ -350,6 +332,32 @@ def _(spark, d):
     )
 
 
+@query("s11_snapshot_replay", f"""WITH RECURSIVE {GLOBAL_DEDUPE_SQL}
+SELECT url_hash, content_hash, sha256(content) AS text_hash, CASE WHEN quality = 1 AND toxic = 0 THEN 1 ELSE 0 END::BIGINT AS revisions FROM batch b LEFT JOIN labels l ON l.doc_id = b.raw_item_id""")
+def _(spark, d):
+    """Two upserts of a snapshot: labelled documents have an earlier text, toxic ones are stored already."""
+    raw = items(spark, d).withColumns({"external_id": F.lit(None).cast("string"), "published_at": F.lit(None).cast("timestamp")})
+    kept = settle(ing.first_wins(settle(ing.accepted(ing.normalise(raw)).select("seq", "url_hash", "content_hash")), "seq").select("seq"))
+    lab = table(spark, d, "labels").select(F.col("doc_id").alias("seq"), "toxic", "quality")
+    snap = raw.join(kept, "seq").join(lab, "seq", "left").withColumns(
+        {"previous_content": F.when(F.col("quality") == 1, F.concat("content", F.lit(" earlier"))), "previous_title": F.lit(None).cast("string")}
+    )
+    stored = snap.filter("toxic = 1")
+    passes = sinks.replay_plan(snap.drop("toxic", "quality"), stored.select("url"))
+    columns = ["source_id", "canonical_url", "url_hash", *ing.CONTENT_COLUMNS, "fetched_at"]
+    base = ing.accepted(ing.normalise(stored)).withColumn("fetched_at", F.lit("2024-01-01").cast("timestamp")).select(*columns)
+    pre_images = []
+    for n, one in enumerate(passes):
+        batch = settle(ing.first_wins(settle(ing.accepted(ing.normalise(one))), "seq"))
+        base, old, _ = ing.upsert(settle(base), batch, F.lit(f"2024-01-3{n}").cast("timestamp"))
+        base = base.select(*columns)
+        pre_images.append(old.select("url_hash"))
+    revised = pre_images[0].unionByName(pre_images[1]).groupBy("url_hash").agg(F.count("*").alias("n"))
+    return base.join(revised, "url_hash", "left").select(
+        "url_hash", "content_hash", F.sha2("content", 256).alias("text_hash"), F.coalesce("n", F.lit(0)).alias("revisions")
+    )
+
+
 @query("n6_upsert_report", f"""WITH RECURSIVE {GLOBAL_DEDUPE_SQL}
 SELECT source_id, count(*) AS fetched, count(*) FILTER (status = 'inserted') AS inserted, count(*) FILTER (status = 'revised') AS revised,
   count(*) FILTER (status = 'unchanged') AS unchanged, count(*) FILTER (status = 'duplicate') AS duplicate
