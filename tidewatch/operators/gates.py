@@ -3,7 +3,7 @@ used only when it passes, otherwise the deterministic column stands."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.columns import pinned
@@ -123,9 +123,9 @@ def validate_enrichment(df: DataFrame, raw: str = "completion") -> DataFrame:
     ).drop("_reply")
 
 
-def pending(raw: DataFrame, derived: DataFrame, retry_quarantined: bool = True) -> DataFrame:
+def pending(raw: DataFrame, derived: DataFrame, retry_quarantined: bool = True, max_attempts: int | None = MAX_ENRICH_ATTEMPTS) -> DataFrame:
     """Items without a derived row, with a stale one (whole seconds) or a quarantined one that
-    has attempts left. raw: raw_item_id, fetched_at; derived: raw_item_id, created_at, status,
+    has attempts left (``max_attempts`` None: however often it was tried). raw: raw_item_id, fetched_at; derived: raw_item_id, created_at, status,
     attempts (several rows per item, such as chunks, are folded first)."""
     second = lambda c: F.floor(F.unix_millis(c) / 1000)
     folded = derived.groupBy("raw_item_id").agg(
@@ -136,7 +136,9 @@ def pending(raw: DataFrame, derived: DataFrame, retry_quarantined: bool = True)
     stale = second(F.col("_created")) < second(F.col("fetched_at"))
     why = F.when(F.col("_created").isNull(), "missing").when(stale, "stale")
     if retry_quarantined:
-        retry = (F.col("_status") == "quarantined") & (F.col("_attempts") < MAX_ENRICH_ATTEMPTS)
+        retry = F.col("_status") == "quarantined"
+        if max_attempts is not None:
+            retry = retry & (F.col("_attempts") < max_attempts)
         why = F.coalesce(why, F.when(retry, "retry"))
     return (
         raw.join(folded, "raw_item_id", "left")
@@ -146,6 +148,14 @@ def pending(raw: DataFrame, derived: DataFrame, retry_quarantined: bool = True)
     )
 
 
+def work_list(items: DataFrame, at: str = "published_at", newest_first: bool = True, limit: int | None = None, key: str = "raw_item_id") -> DataFrame:
+    """Items in the order a run takes them, undated ones last when newest come first and first
+    otherwise. With a ``limit``, that many and their ``position``."""
+    order = [F.desc_nulls_last(at) if newest_first else F.asc_nulls_first(at), F.asc(key)]
+    ordered = items.orderBy(*order)
+    return ordered if limit is None else ordered.limit(limit).withColumn("position", F.row_number().over(Window.orderBy(*order)))
+
+
 def by_ids(items: DataFrame, ids: DataFrame, key: str = "raw_item_id") -> DataFrame:
     """Exactly the given items."""
     return items.join(ids.select(key), key, "left_semi")

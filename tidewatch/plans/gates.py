@@ -88,6 +88,46 @@ def _(spark, d):
     return gates.save_enrichment(stored, gates.validate_enrichment(completions(spark, d)))
 
 
+_WORK_SQL = """ok AS (SELECT event_id AS raw_item_id, ts AS fetched_at, CASE WHEN user_id % 23 <> 0 THEN ts END AS published_at, user_id FROM events WHERE value >= 1),
+tried AS (SELECT event_id AS raw_item_id, ts - INTERVAL (CASE WHEN user_id % 3 = 0 THEN 10 ELSE 0 END) SECOND AS created, CASE WHEN user_id % 4 = 0 THEN 'quarantined' ELSE 'ok' END AS status FROM events WHERE value >= 2)"""
+
+
+def work_rows(spark, d):
+    """Shown items, and what an earlier run derived from some of them."""
+    e = table(spark, d, "events")
+    u = F.col("user_id")
+    ok = e.filter("value >= 1").select(F.col("event_id").alias("raw_item_id"), F.col("ts").alias("fetched_at"), F.when(u % 23 != 0, F.col("ts")).alias("published_at"))
+    late = F.make_dt_interval(secs=F.when(u % 3 == 0, F.lit(10)).otherwise(F.lit(0)))
+    tried = e.filter("value >= 2").select(
+        F.col("event_id").alias("raw_item_id"), (F.col("ts") - late).alias("created_at"), F.when(u % 4 == 0, "quarantined").otherwise("ok").alias("status"), (u % 5).alias("attempts")
+    )
+    return ok, tried
+
+
+@query("e1_pending_embed", f"""WITH {_WORK_SQL} SELECT raw_item_id, row_number() OVER (ORDER BY published_at DESC NULLS LAST, raw_item_id) AS position
+FROM ok LEFT JOIN tried USING (raw_item_id) WHERE created IS NULL OR floor(epoch_ms(created) / 1000) < floor(epoch_ms(fetched_at) / 1000) QUALIFY position <= 500""")
+def _(spark, d):
+    ok, tried = work_rows(spark, d)
+    return gates.work_list(gates.pending(ok, tried, retry_quarantined=False), limit=500).select("raw_item_id", "position")
+
+
+@query("j2_pending_diff", f"""WITH {_WORK_SQL} SELECT raw_item_id, row_number() OVER (ORDER BY published_at ASC NULLS FIRST, raw_item_id) AS position,
+  CASE WHEN created IS NULL THEN 'missing' WHEN floor(epoch_ms(created) / 1000) < floor(epoch_ms(fetched_at) / 1000) THEN 'stale' ELSE 'retry' END AS pending_reason
+FROM ok LEFT JOIN tried USING (raw_item_id) WHERE created IS NULL OR floor(epoch_ms(created) / 1000) < floor(epoch_ms(fetched_at) / 1000) OR status = 'quarantined' QUALIFY position <= 500""")
+def _(spark, d):
+    ok, tried = work_rows(spark, d)
+    listed = gates.work_list(gates.pending(ok, tried, max_attempts=None), newest_first=False, limit=500)
+    return listed.select("raw_item_id", "position", "pending_reason")
+
+
+@query("p14_explicit_ids_oldest_first", f"""WITH {_WORK_SQL} SELECT raw_item_id, row_number() OVER (ORDER BY published_at ASC NULLS FIRST, raw_item_id) AS position
+FROM ok WHERE raw_item_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') QUALIFY position <= 200""")
+def _(spark, d):
+    ok, _ = work_rows(spark, d)
+    ids = table(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("raw_item_id"))
+    return gates.work_list(gates.by_ids(ok, ids), newest_first=False, limit=200).select("raw_item_id", "position")
+
+
 @query("p14_explicit_ids", f"WITH {SIGNALS_SQL} SELECT id AS raw_item_id, category FROM signals WHERE id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
 def _(spark, d):
     ids = table(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("raw_item_id"))
