@@ -139,15 +139,24 @@ def decode_entities(c: Column) -> Column:
     return let(c, lambda t: F.when(t.contains("&"), decoded_parts(t)).otherwise(t))
 
 
+# Markup and what it becomes, in the order of replacement.
+MARKUP = [
+    (r"(?i)<(script|style)\b[^>]*>[\s\S]*?</\1>", " "),
+    (r"<!--[\s\S]*?-->", " "),
+    (r"(?i)<br\s*/?>", "\n"),
+    (r"(?i)<li\b[^>]*>", "- "),
+    (r"(?i)</li>", "\n"),
+    (r"(?i)</(p|div|h[1-6]|tr|section|article)>", "\n\n"),
+    (r"<[^>]+>", " "),
+]
+
+
 def html_to_text(c: Column) -> Column:
     """Flatten markup: blocks become line breaks, other tags blanks."""
-    out = F.regexp_replace(c, r"(?i)<(script|style)\b[^>]*>[\s\S]*?</\1>", " ")
-    out = F.regexp_replace(out, r"<!--[\s\S]*?-->", " ")
-    out = F.regexp_replace(out, r"(?i)<br\s*/?>", "\n")
-    out = F.regexp_replace(out, r"(?i)<li\b[^>]*>", "- ")
-    out = F.regexp_replace(out, r"(?i)</li>", "\n")
-    out = F.regexp_replace(out, r"(?i)</(p|div|h[1-6]|tr|section|article)>", "\n\n")
-    out = decode_entities(F.regexp_replace(out, r"<[^>]+>", " "))
+    out = c
+    for pattern, put in MARKUP:
+        out = F.regexp_replace(out, pattern, put)
+    out = decode_entities(out)
     out = F.regexp_replace(out, f"(?:(?!\\n){SPACE})+", " ")
     out = F.regexp_replace(out, r" ?\n ?", "\n")
     return trim_all(F.regexp_replace(out, r"\n{3,}", "\n\n"))

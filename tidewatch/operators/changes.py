@@ -11,7 +11,6 @@ from tidewatch.functions.text import fold, let, sentences, trim_all
 from tidewatch.functions.vectors import dot
 from tidewatch.operators.neighbours import nearest
 from tidewatch.operators.sequence import top_per_key, with_neighbours
-from tidewatch.operators.sinks import upsert_latest
 from tidewatch.schemas import SIMILARITY_THRESHOLD
 
 MARKET = "Market"
@@ -205,10 +204,6 @@ def change_events(classified: DataFrame, facts: DataFrame, links: DataFrame) ->
     )
 
 
-def save_events(stored: DataFrame, events: DataFrame) -> DataFrame:
-    return upsert_latest(stored, events, ["trigger_item_id"])
-
-
 def kind_report(events: DataFrame) -> DataFrame:
     return events.groupBy("kind").agg(F.count("*").alias("n"))
 

@@ -181,6 +181,10 @@ def decide(df: DataFrame, a: str, b: str, judged: str) -> DataFrame:
     return detect(df, a, b).withColumn("contradicts", F.coalesce(F.col(judged), F.col("contradicts")))
 
 
+# Fixed value: the note of a conflict found by structure, around the signals it rests on.
+CONFLICT_NOTE = ("These sources make opposing claims (", "); both are shown rather than assuming the newer one is settled.")
+
+
 def structural_conflicts(events: DataFrame, facts: DataFrame, items: DataFrame) -> DataFrame:
     """Updates whose prior fact's item is in the same brief and whose accounts oppose.
 
@@ -213,9 +217,9 @@ def structural_conflicts(events: DataFrame, facts: DataFrame, items: DataFrame)
             F.concat_ws(" — ", "vendor", "dimension").alias("topic"),
             F.array(side("after", "trigger_item_id", "now_quote"), side("then_text", "prior_id", "then_quote")).alias("sides"),
             F.concat(
-                F.lit("These sources make opposing claims ("),
+                F.lit(CONFLICT_NOTE[0]),
                 F.array_join("signals", "; "),
-                F.lit("); both are shown rather than assuming the newer one is settled."),
+                F.lit(CONFLICT_NOTE[1]),
             ).alias("note"),
         )
     )

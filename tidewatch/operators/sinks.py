@@ -67,16 +67,10 @@ def replay_plan(snapshot: DataFrame, stored_keys: DataFrame) -> tuple[DataFrame,
     return earlier.drop(*drop), snapshot.drop(*drop)
 
 
-def latest_snapshot(rows: DataFrame, day: str) -> DataFrame:
-    """The newest stored row, by key."""
-    return rows.orderBy(F.desc(day)).limit(1)
-
-
 __all__ = [
     "append_new",
     "count_attempts",
     "latest_per_key",
-    "latest_snapshot",
     "replay_plan",
     "sync_catalog",
     "upsert_latest",

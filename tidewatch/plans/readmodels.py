@@ -11,7 +11,7 @@ from tidewatch.plans.registry import query
 from tidewatch.schemas import PAGE_SCAN_CHARS
 from tidewatch.plans.scalar import html_text_sql
 from tidewatch.plans.views import FOCUS, NOW_SQL, NOW_TEXT, SIGNALS_SQL, now, raw_items, signals, sql_collapse, table
-from tidewatch.functions.text import html_to_text
+from tidewatch.functions.text import TITLE_STOPWORDS, html_to_text
 
 _BRIEF = "SELECT *, row_number() OVER (ORDER BY score DESC, published_at DESC NULLS LAST, id DESC) AS position FROM scored"
 BRIEF_SQL = f"{SIGNALS_SQL}, ranked AS ({_BRIEF}), brief AS (SELECT * FROM ranked WHERE position <= 8)"
@@ -180,11 +180,14 @@ def _(spark, d):
     return signals(spark, d).select("id", dimension_of(F.col("category"), F.col("source_kind")).alias("dimension"), "tier")
 
 
+_STOP = ", ".join(f"'{w}'" for w in TITLE_STOPWORDS)
+
+
 @query("p11_page_relevance", f"""
 WITH p AS (SELECT page_id, lower(substr(t, 1, 200000)) AS hay, {html_text_sql("regexp_extract(html, '<title>(.*?)</title>', 1, 's')")} AS title, 'thth ' || split_part(regexp_extract(url, '://([^/]*)', 1), '.', 1) AS vendor FROM (SELECT *, {html_text_sql('html')} AS t FROM pages)),
 s AS (SELECT page_id + 1 AS page_id, title AS next_title FROM p),
-q AS (SELECT p.*, list_distinct(list_filter(regexp_extract_all(lower(next_title), '[a-z0-9][a-z0-9.+-]{{3,}}'), lambda x: x NOT IN ('the','and','for','with','from','this','that','into','over','your','new','now','how','why','what','when','will','has','have','are','was','its','about'))) AS terms,
-    list_distinct(list_filter(regexp_extract_all(lower(vendor), '[a-z0-9][a-z0-9.+-]{{3,}}'), lambda x: x NOT IN ('this', 'that', 'with', 'from'))) AS names FROM p JOIN s USING (page_id))
+q AS (SELECT p.*, list_distinct(list_filter(regexp_extract_all(lower(next_title), '[a-z0-9][a-z0-9.+-]{{3,}}'), lambda x: x NOT IN ({_STOP}))) AS terms,
+    list_distinct(list_filter(regexp_extract_all(lower(vendor), '[a-z0-9][a-z0-9.+-]{{3,}}'), lambda x: x NOT IN ({_STOP}))) AS names FROM p JOIN s USING (page_id))
 SELECT page_id, CASE WHEN (len(names) = 0 OR len(list_filter(names, lambda n: contains(hay, n))) > 0) AND (len(terms) = 0 OR len(list_filter(terms, lambda n: contains(hay, n))) / len(terms)::DOUBLE >= 0.5) THEN 'verified' ELSE 'irrelevant' END AS url_status FROM q""")
 def _(spark, d):
     p = table(spark, d, "pages")

@@ -33,8 +33,8 @@ def _(spark, d):
     return p.withColumn("url_hash", urls.url_hash(F.col("canonical_url")))
 
 
-_ENTITY_STEPS = [("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "''"), ("nbsp", " "), ("mdash", "—"), ("ndash", "–"),
-                 ("hellip", "…"), ("rsquo", "’"), ("lsquo", "‘"), ("ldquo", "“"), ("rdquo", "”"), ("amp", "&")]
+# The oracle decodes one entity after the other, so the ampersand comes last.
+_ENTITY_STEPS = [(name, put.replace("'", "''")) for name, put in sorted(text.NAMED_ENTITIES.items(), key=lambda e: e[0] == "amp")]
 
 
 def html_text_sql(x: str) -> str:

@@ -52,12 +52,6 @@ def current_items(log: DataFrame) -> DataFrame:
     ).select("url_hash", "source_id", "canonical_url", "_n.*")
 
 
-def revisions(log: DataFrame) -> DataFrame:
-    """Every preserved pre-image: versions that are no longer the newest."""
-    newest = latest_per_key(log.select("url_hash", "batch", "seq"), ["url_hash"], [F.col("batch"), F.col("seq")])
-    return log.join(newest, ["url_hash", "batch", "seq"], "left_anti")
-
-
 def ingest_batch(batch: DataFrame, batch_id: int, log_path: str, report_path: str) -> None:
     """One micro-batch: normalise, first-wins dedupe, upsert against the log, append."""
     spark = batch.sparkSession
