@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 from tidewatch.session import build_session
@@ -26,6 +27,9 @@ HEADLINES = [
     "m2_m3_j10_r8_suggestions",
     "j9_r6_digest_rows",
     "w4_rate_windows",
+    "w1_continuous_ingest",
+    "e2_e3_validate_enrichment",
+    "b2_battlecards",
 ]
 
 
@@ -35,7 +39,7 @@ def main() -> None:
     spark = build_session(
         "tidewatch-bench",
         f"local[{cpus}]",
-        **{"spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.driver.memory": "16g"},
+        **{"spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.driver.memory": "16g", "spark.checkpoint.dir": tempfile.mkdtemp(prefix="tidewatch-bench-")},
     )
     spark.sparkContext.setLogLevel("ERROR")
     from tidewatch.plans import QUERIES
