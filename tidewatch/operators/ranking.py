@@ -41,6 +41,24 @@ def spine(enriched: DataFrame, raw: DataFrame, sources: DataFrame, *extra: str)
     )
 
 
+DETAIL_COLUMNS = ["vendors", "products", "rationale", "created_at", "model", "prompt_version", "content", "author"]
+
+
+def signal_detail(enriched: DataFrame, raw: DataFrame, sources: DataFrame, ids: DataFrame) -> DataFrame:
+    """Shown signals with their full text, parsed lists and how they were made. ids: id."""
+    wanted = ids.select(F.col("id").alias("raw_item_id"))
+    return spine(enriched.join(wanted, "raw_item_id", "left_semi"), raw, sources, *DETAIL_COLUMNS)
+
+
+def brief_on(briefs: DataFrame, day: Column) -> DataFrame:
+    return briefs.filter(F.col("brief_date") == day)
+
+
+def latest_brief(briefs: DataFrame) -> DataFrame:
+    """The newest stored brief; briefs are unique by brief_date."""
+    return briefs.orderBy(F.desc("brief_date")).limit(1)
+
+
 def score(now: Column) -> Column:
     """Impact scaled by recency."""
     return F.col("impact_score") * recency_weight(

@@ -10,7 +10,8 @@ from tidewatch.plans.changes import CHANGES_SQL, event_rows
 from tidewatch.plans.registry import query
 from tidewatch.schemas import PAGE_SCAN_CHARS
 from tidewatch.plans.scalar import html_text_sql
-from tidewatch.plans.views import FOCUS, NOW_SQL, NOW_TEXT, SIGNALS_SQL, now, raw_items, signals, sql_collapse, table
+from tidewatch.plans.views import FOCUS, NOW_SQL, NOW_TEXT, SIGNALS_SQL, enriched, now, raw_items, signals, sources, sql_collapse, table
+from tidewatch.functions.labels import string_array
 from tidewatch.functions.text import TITLE_STOPWORDS, html_to_text
 
 _BRIEF = "SELECT *, row_number() OVER (ORDER BY score DESC, published_at DESC NULLS LAST, id DESC) AS position FROM scored"
@@ -128,6 +129,35 @@ def _(spark, d):
     return one.unionByName(ev).unionByName(v)
 
 
+@query("p13_signal_detail", f"""WITH {SIGNALS_SQL} SELECT s.id, s.title, s.vendor, s.tier, s.source_kind, 'by ' || e.user_id AS author, sha256(props) AS content_hash, 'm' || e.user_id % 3 AS model,
+  CASE WHEN e.user_id % 4 = 0 THEN '' ELSE 'p' || e.user_id END AS products, CASE WHEN e.user_id % 17 = 0 OR e.user_id % 19 = 0 THEN '' WHEN e.user_id % 7 = 0 THEN 'v' || e.user_id % 10 ELSE 'v' || e.user_id % 10 || ',v9' END AS vendors,
+  epoch_us(s.created_at) AS created_us FROM signals s JOIN events e ON e.event_id = s.id WHERE s.id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O')""")
+def _(spark, d):
+    e = table(spark, d, "events")
+    u = F.col("user_id")
+    made = e.select(
+        F.col("event_id").alias("raw_item_id"), F.when(u % 4 == 0, "not a list").otherwise(F.concat(F.lit('["p'), u.cast("string"), F.lit('", 7]'))).alias("products"),
+        F.lit("because").alias("rationale"), F.concat(F.lit("m"), (u % 3).cast("string")).alias("model"), F.lit("1").alias("prompt_version"),
+    ).withColumn("products", string_array(F.col("products")))
+    landed = e.select(F.col("event_id").alias("raw_item_id"), F.col("props").alias("content"), F.concat(F.lit("by "), u.cast("string")).alias("author"))
+    ids = table(spark, d, "orders").filter("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("id"))
+    out = ranking.signal_detail(enriched(spark, d).join(made, "raw_item_id"), raw_items(spark, d).join(landed, "raw_item_id"), sources(spark, d), ids)
+    return out.select(
+        "id", "title", "vendor", "tier", "source_kind", "author", F.sha2("content", 256).alias("content_hash"), "model",
+        F.array_join("products", ",").alias("products"), F.array_join("vendors", ",").alias("vendors"), F.unix_micros("created_at").alias("created_us"),
+    )
+
+
+@query("p13_stored_briefs", f"""WITH {SIGNALS_SQL}, b AS (SELECT strftime(published_at, '%Y-%m-%d') AS brief_date, array_to_string(list(id ORDER BY impact_score DESC, published_at DESC, id DESC)[1:8], ',') AS items FROM signals WHERE published_at IS NOT NULL GROUP BY 1)
+SELECT 'latest' AS asked, brief_date, items FROM b WHERE brief_date = (SELECT max(brief_date) FROM b) UNION ALL SELECT 'day', brief_date, items FROM b WHERE brief_date = '2024-01-09'""")
+def _(spark, d):
+    s = signals(spark, d).filter("published_at is not null").withColumn("brief_date", F.date_format("published_at", "yyyy-MM-dd"))
+    top = top_per_key(s, ["brief_date"], [F.desc("impact_score"), F.desc("published_at"), F.desc("id")], 8)
+    briefs = top.groupBy("brief_date").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda r: r["id"].cast("string")), ",").alias("items"))
+    latest = ranking.latest_brief(briefs).select(F.lit("latest").alias("asked"), "brief_date", "items")
+    return latest.unionByName(ranking.brief_on(briefs, F.lit("2024-01-09")).select(F.lit("day").alias("asked"), "brief_date", "items"))
+
+
 @query("r10_related_signals", f"""WITH {SIGNALS_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY lower(vendor) ORDER BY published_at DESC NULLS LAST, id DESC) AS r FROM signals WHERE vendor IS NOT NULL)
 SELECT focus_id, id, row_number() OVER (PARTITION BY focus_id ORDER BY r) AS rank FROM (
   SELECT f.id AS focus_id, n.id, n.r FROM signals f JOIN n ON n.vendor = f.vendor AND n.r <= 6 AND n.id <> f.id) QUALIFY rank <= 5""")
