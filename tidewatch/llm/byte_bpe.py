@@ -21,7 +21,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE_WORDS = 400_000  # pre-tokens a worker remembers; a pace-maker only, results don't depend on it
+CACHE_WORDS = 200_000  # pre-tokens a worker remembers; a pace-maker only, results don't depend on it
 SLICE_CHARS = 8 << 20  # text encoded before ids are handed on
 
 # Bytes stand for the characters U+0100 + byte: printable, one code point each, none of them white space or a space mark.

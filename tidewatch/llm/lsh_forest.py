@@ -30,7 +30,7 @@ DEPTH = 8
 RECALL = 0.999
 PAGE_DOCS = 512
 PAGE_SHINGLES = 300_000
-CACHED_WORDS = 300_000
+CACHED_WORDS = 100_000
 
 _WORD = re.compile(r"[^\W_]+")
 _rng = np.random.default_rng(7)
