@@ -348,6 +348,34 @@ def test_fuzzy_lines_connect_variants(spark):
     assert all(r.kept == ((r.doc_id, r.line_no) == (r.keep_doc_id, r.keep_line_no)) for r in got)
 
 
+def edits(a, b):
+    """The edit distance of two texts."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_fuzzy_lines_find_what_brute_force_finds(spark):
+    rng = random.Random(21)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randrange(2, 10))) for _ in range(3000)]
+    lines = []
+    for i in range(120):
+        line = [rng.choice(vocabulary) for _ in range(rng.choice([6, 10, 15, 20, 30, 45, 60]))]
+        other = list(line)
+        for _ in range(1 + len(line) // 25):
+            at, how = rng.randrange(len(other)), rng.randrange(3)
+            other[at:at + 1] = [[rng.choice(vocabulary)], [], [other[at], rng.choice(vocabulary)]][how]
+        lines.append((" ".join(line), " ".join(other)))
+    true = {i for i, (a, b) in enumerate(lines) if edits(a, b) <= math.floor(max(len(a), len(b)) * 0.1 + 1e-9)}
+    got = fuzzy_lines.line_groups(docs(spark, [(i, "\n".join(pair)) for i, pair in enumerate(lines)])).collect()
+    assert len(true) > 60 and all(r.keep_doc_id == r.doc_id for r in got)  # no two bases are similar
+    found = {r.doc_id for r in got if not r.kept}
+    assert found <= true and len(found) >= 0.98 * len(true)
+
+
 def test_fuzzy_lines_of_awkward_rows(spark):
     got = fuzzy_lines.line_groups(docs(spark, AWKWARD)).collect()
     same = [r for r in got if r.keep_doc_id == 3]
