@@ -223,6 +223,39 @@ def _(spark, d):
     return table_of.unionByName(changes.accuracy(results).select(F.lit("all").alias("expected"), F.lit("correct").alias("actual"), F.col("correct").alias("n")))
 
 
+# The query above evaluates only documents whose id is that of a vector; here every document takes the embedding
+# its id comes to when divided by their number, as in the search queries.
+@query("d10_golden_evaluation_all_pairs", f"""
+WITH p AS (SELECT a.doc_id AS id, CASE WHEN a.doc_id % 10 <> 0 THEN a.text END AS prior, b.text AS next, a.lang = b.lang AS revised, l.quality, list_transform(x.embedding, lambda v: v::DOUBLE) AS va, list_transform(y.embedding, lambda v: v::DOUBLE) AS vb
+  FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 JOIN labels l ON l.doc_id = a.doc_id JOIN embeddings x ON x.vec_id = a.doc_id % (SELECT count(*) FROM embeddings) JOIN embeddings y ON y.vec_id = b.doc_id % (SELECT count(*) FROM embeddings)),
+ks AS (SELECT *, {sql_sentences("coalesce(prior, '')")} AS sa, {sql_sentences('next')} AS sb FROM p),
+kk AS (SELECT *, list_transform(sa, lambda x: {sql_fold('x')}) AS ka, list_transform(sb, lambda x: {sql_fold('x')}) AS kb FROM ks),
+r AS (SELECT id, CASE WHEN revised AND prior IS NOT NULL THEN CASE WHEN list_sort(list_distinct(ka)) = list_sort(list_distinct(kb)) THEN 'duplicate' ELSE 'update' END
+    WHEN prior IS NULL THEN 'new' WHEN list_dot_product(va, vb) >= 0.1 THEN 'rephrase' ELSE 'new' END AS actual,
+    CASE WHEN quality = 1 THEN 'update' ELSE 'new' END AS expected FROM kk)
+SELECT expected, actual, count(*) AS n FROM r GROUP BY 1, 2
+UNION ALL SELECT 'all', 'correct', count(*) FILTER (actual = expected) FROM r""")
+def _(spark, d):
+    docs = table(spark, d, "documents")
+    v = table(spark, d, "embeddings")
+    n = v.count()
+    vectors = v.select((F.col("vec_id") % n).alias("_v"), "embedding")
+    prior_vectors = vectors.select(F.col("_v").alias("_a"), F.col("embedding").alias("prior_vector"))
+    next_vectors = vectors.select(F.col("_v").alias("_b"), F.col("embedding").alias("next_vector"))
+    nxt = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("next"), F.col("lang").alias("next_lang"))
+    pairs = (
+        docs.join(nxt, "doc_id").join(table(spark, d, "labels"), "doc_id")
+        .withColumns({"_a": F.col("doc_id") % n, "_b": (F.col("doc_id") + 1) % n}).join(prior_vectors, "_a").join(next_vectors, "_b")
+        .select(
+            F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 10 != 0, F.col("text")).alias("prior"), "next", (F.col("lang") == F.col("next_lang")).alias("revised"),
+            F.when(F.col("quality") == 1, "update").otherwise("new").alias("expected"), "prior_vector", "next_vector",
+        )
+    )
+    results = changes.evaluate_pairs(pairs, 0.1)
+    table_of = results.groupBy("expected", "actual").agg(F.count("*").alias("n"))
+    return table_of.unionByName(changes.accuracy(results).select(F.lit("all").alias("expected"), F.lit("correct").alias("actual"), F.col("correct").alias("n")))
+
+
 # Claims carry figures and opposing words, appended to whole turns of conversation.
 CLAIMS = [
     "Acme raises platform pricing by 20% to $1,200 in v2.1.",
