@@ -128,6 +128,31 @@ def _(spark, d):
     return gates.work_list(gates.by_ids(ok, ids), newest_first=False, limit=200).select("raw_item_id", "position")
 
 
+# The three lists above are cut by their limit; these hold every item.
+@query("e1_pending_embed_whole", f"""WITH {_WORK_SQL} SELECT raw_item_id, row_number() OVER (ORDER BY published_at DESC NULLS LAST, raw_item_id) AS position
+FROM ok LEFT JOIN tried USING (raw_item_id) WHERE created IS NULL OR floor(epoch_ms(created) / 1000) < floor(epoch_ms(fetched_at) / 1000)""")
+def _(spark, d):
+    ok, tried = work_rows(spark, d)
+    return gates.with_positions(gates.pending(ok, tried, retry_quarantined=False)).select("raw_item_id", "position")
+
+
+@query("j2_pending_diff_whole", f"""WITH {_WORK_SQL} SELECT raw_item_id, row_number() OVER (ORDER BY published_at ASC NULLS FIRST, raw_item_id) AS position,
+  CASE WHEN created IS NULL THEN 'missing' WHEN floor(epoch_ms(created) / 1000) < floor(epoch_ms(fetched_at) / 1000) THEN 'stale' ELSE 'retry' END AS pending_reason
+FROM ok LEFT JOIN tried USING (raw_item_id) WHERE created IS NULL OR floor(epoch_ms(created) / 1000) < floor(epoch_ms(fetched_at) / 1000) OR status = 'quarantined'""")
+def _(spark, d):
+    ok, tried = work_rows(spark, d)
+    listed = gates.with_positions(gates.pending(ok, tried, max_attempts=None), newest_first=False)
+    return listed.select("raw_item_id", "position", "pending_reason")
+
+
+@query("p14_explicit_ids_oldest_first_whole", f"""WITH {_WORK_SQL} SELECT raw_item_id, row_number() OVER (ORDER BY published_at ASC NULLS FIRST, raw_item_id) AS position
+FROM ok WHERE raw_item_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')""")
+def _(spark, d):
+    ok, _ = work_rows(spark, d)
+    ids = table(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("raw_item_id"))
+    return gates.with_positions(gates.by_ids(ok, ids), newest_first=False).select("raw_item_id", "position")
+
+
 @query("p14_explicit_ids", f"WITH {SIGNALS_SQL} SELECT id AS raw_item_id, category FROM signals WHERE id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
 def _(spark, d):
     ids = table(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("raw_item_id"))
