@@ -376,6 +376,13 @@ def test_fuzzy_lines_find_what_brute_force_finds(spark):
     assert found <= true and len(found) >= 0.98 * len(true)
 
 
+def test_simhash_of_over_two_million_words(spark):
+    text = "garden " * 2_200_000 + "window"
+    got = fuzzy_lines._counters(fuzzy_lines._lines(docs(spark, [(1, text)]), "doc_id", "text")).first()
+    want = spark.range(1).select(F.xxhash64(F.lit("garden")).alias("x")).first().x & (1 << 63) - 1
+    assert got.simhash == want  # the word that fills the line decides every bit
+
+
 def test_fuzzy_lines_of_awkward_rows(spark):
     got = fuzzy_lines.line_groups(docs(spark, AWKWARD)).collect()
     same = [r for r in got if r.keep_doc_id == 3]
