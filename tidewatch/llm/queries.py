@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from string import ascii_lowercase, ascii_uppercase
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import byte_bpe, cover_tree, exact_dedup, fuzzy_lines, lsh_forest, mixing, secrets, sharding, token_lengths, toxicity
+from tidewatch.llm import byte_bpe, cover_tree, exact_dedup, fuzzy_lines, lsh_forest, mixing, periodic_runs, positional_index, secrets, sharding, token_lengths, toxicity, turn_repair
 from tidewatch.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -137,6 +138,73 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """Conversations with a fault in one of four rows, decided by crc32 of `conv_id:turn`: dropped, emptied, without full stops, repeated, or said by the user."""
+    h = F.crc32(F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")]).cast("binary")) % 20
+    text = F.when(h == 1, "").when(h == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(h == 4, "user").otherwise(F.col("role"))
+    rows = turns.where(h != 0).select("conv_id", "turn", role.alias("role"), text.alias("text"), F.when(h == 3, 2).otherwise(1).alias("n"))
+    return rows.select("conv_id", "turn", "role", "text", F.explode(F.sequence(F.lit(1), "n"))).drop("col")
+
+
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return turn_repair.repair(damaged(turns), turns)
+
+
+def op12_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = positional_index.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "near_items")
+
+
+def _op12_sql() -> str:
+    words = lambda text: f"regexp_extract_all(translate(coalesce({text}, ''), '{ascii_uppercase}', '{ascii_lowercase}'), '{positional_index.WORD}')"
+    return f"""
+WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {words('text')} AS w FROM documents),
+items AS MATERIALIZED (SELECT *, least({positional_index.WINDOW}, len(w)) AS span FROM (SELECT row_number() OVER () AS i, coalesce(item_id::VARCHAR, '') AS item_id, {words('text')} AS w FROM benchmark) WHERE len(w) > 0),
+windows AS MATERIALIZED (SELECT i, item_id, span, s, array_to_string(w[s + 1:s + span], ' ') AS phrase FROM items, range(0, len(w) - span + 1) AS t(s)),
+phrases AS (SELECT DISTINCT item_id, span, phrase FROM windows),
+places AS (SELECT r, span, s, array_to_string(w[s + 1:s + span], ' ') AS phrase FROM docs, (SELECT DISTINCT span FROM phrases), range(0, len(w) - span + 1) AS t(s)),
+hits AS MATERIALIZED (SELECT r, s, span, item_id FROM places JOIN phrases USING (span, phrase)),
+hit_words AS (SELECT r, count(DISTINCT p) AS n_hit FROM hits, range(s, s + span) AS t(p) GROUP BY r),
+hit_items AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS ids FROM hits GROUP BY r),
+terms AS MATERIALIZED (SELECT r, p, w[p + 1] AS term FROM docs, range(0, len(w)) AS t(p)),
+dfs AS (SELECT term, count(*) AS df FROM terms GROUP BY term),
+ranked AS (SELECT i, item_id, s, span, array_agg({{'df': df, 'p': p, 'term': term}} ORDER BY df, p) AS by_rarity
+           FROM (SELECT i, item_id, s, span, p, w[p + 1] AS term FROM windows JOIN items USING (i, item_id, span), range(s, s + span) AS t(p)) JOIN dfs USING (term) GROUP BY ALL HAVING count(*) = span),
+pairs AS (SELECT DISTINCT item_id, by_rarity[1].term AS a, by_rarity[least(2, span)].term AS b FROM ranked),
+near AS (SELECT x.r, count(DISTINCT item_id) AS near_items FROM pairs JOIN terms x ON x.term = a JOIN terms y ON y.term = b AND y.r = x.r AND abs(x.p - y.p) <= {positional_index.REACH} GROUP BY x.r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated, coalesce(near_items, 0) AS near_items
+FROM docs LEFT JOIN hit_words USING (r) LEFT JOIN hit_items USING (r) LEFT JOIN near USING (r)
+"""
+
+
+OP12_SQL = _op12_sql()
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """(doc_id, text), where one document of ten, by crc32 of its id, repeats a stretch of its words from some place on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    parts = docs.select("doc_id", "text", F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("words"), F.floor(h / 10).alias("g"))
+    n = F.size("words")
+    a = (F.col("g") % n).cast("int")
+    placed = parts.select("*", F.when(n > 0, a).alias("a")).select("*", F.when(n > 0, F.lit(1) + F.floor((n - F.col("a")) / (F.lit(3) + F.col("g") % 8)).cast("int")).alias("p"))
+    at = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))
+    periodic = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get("words", at(i))), " ")
+    return placed.select("doc_id", F.when(F.col("p").isNotNull(), periodic).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.collapsed(with_periods(table(spark, sf_dir, "documents")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n")))
+    best = found.select("*", F.when(F.size("runs") > 0, periodic_runs.longest(F.col("runs"))).alias("best"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"))
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"), "runs_sha256", F.col("kept_sha256").alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_cover_tree": op1_cover_tree,
     "op2_lsh_forest_join": op2_lsh_forest_join,
@@ -148,5 +216,8 @@ QUERIES: dict[str, Query] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_fuzzy_lines": op9_fuzzy_lines,
     "op10_toxicity": op10_toxicity,
+    "op11_turn_repair": op11_turn_repair,
+    "op12_positional_index": op12_positional_index,
+    "op13_periodic_runs": op13_periodic_runs,
 }
-ORACLES: dict[str, str] = {"op5_extendible_hashing": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op7_pareto_mixing": OP7_SQL}
+ORACLES: dict[str, str] = {"op5_extendible_hashing": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op7_pareto_mixing": OP7_SQL, "op12_positional_index": OP12_SQL}
