@@ -86,10 +86,12 @@ def _met(index: Index) -> DataFrame:
 def phrase_matches(index: Index) -> DataFrame:
     """Every window that occurs: (row, matches array<struct<at, till, item>>), positions of words, `till` exclusive.
 
-    One row per document with matches. Its places are brought to its words once, however many there are.
+    One row per document with matches. Its places are brought to its words once, however many there are. Few documents have
+    any, so the words of the others are left out by their ids first, which Spark can send around while they are few.
     """
-    places = _met(index).groupBy("row").agg(F.collect_list(F.struct("item", "span", "shift", "starts", "stretch")).alias("places"))
-    both = places.join(index.forward.select("row", "words"), "row")
+    places = stored(_met(index).groupBy("row").agg(F.collect_list(F.struct("item", "span", "shift", "starts", "stretch")).alias("places")), "places")
+    touched = stored(places.select("row"), "touched")
+    both = places.join(index.forward.select("row", "words").join(touched, "row", "left_semi"), "row")
 
     def occurs(p: Column, start: Column) -> Column:
         at = p["shift"] + start
@@ -111,8 +113,9 @@ def proximity_matches(index: Index, reach: int = REACH) -> DataFrame:
     """
     lists = index.postings
     pairs = index.keys.select("item", "first", "second").distinct()
-    one = pairs.join(lists.withColumnRenamed("term", "first"), "first").select("item", "second", "row", F.col("pos").alias("one"), (F.floor(F.col("pos") / reach)).alias("tile"))
-    other = lists.select(F.col("term").alias("second"), "row", F.col("pos").alias("other"), F.explode(F.array(*[F.floor(F.col("pos") / reach) + d for d in (-1, 0, 1)])).alias("tile"))
+    beside = F.explode(F.array(*[F.floor(F.col("pos") / reach) + d for d in (-1, 0, 1)]))
+    one = pairs.join(lists.withColumnRenamed("term", "first"), "first").select("item", "second", "row", F.col("pos").alias("one"), beside.alias("tile"))
+    other = lists.join(pairs.select(F.col("second").alias("term")).distinct(), "term", "left_semi").select(F.col("term").alias("second"), "row", F.col("pos").alias("other"), F.floor(F.col("pos") / reach).alias("tile"))
     close = one.join(other, ["row", "second", "tile"]).where(F.abs(F.col("one") - F.col("other")) <= reach)
     return close.select("row", "item").distinct()
 
