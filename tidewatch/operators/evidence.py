@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.labels import recency_weight
 from tidewatch.functions.text import first_sentence
-from tidewatch.operators.neighbours import count_within, nearest
+from tidewatch.operators.neighbours import within
 from tidewatch.operators.ranking import best_first, score
 from tidewatch.operators.sequence import latest_per_key, top_per_key
 from tidewatch.schemas import (
@@ -229,11 +229,8 @@ def corroborate(
     q = signals.select(
         F.col("raw_item_id").alias("query_id"), F.col("raw_item_id").alias("self_item"), "vendor", "at", "vector"
     )
-    settings = {"group": "vendor", "rule": "band", "band_days": days, "min_similarity": threshold, "by_item": True}
-    matches = nearest(q, corpus, k, **settings)
-    some = count_within(q, corpus.withColumn("flag", F.col("tier") == "primary"), threshold, group="vendor", rule="band", band_days=days).select(
-        "query_id", F.col("n").alias("corroborators"), "best", F.col("flagged").alias("confirmed")
-    )
+    some, matches = within(q, corpus.withColumn("flag", F.col("tier") == "primary"), threshold, k, group="vendor", rule="band", band_days=days)
+    some = some.select("query_id", F.col("n").alias("corroborators"), "best", F.col("flagged").alias("confirmed"))
     status = (
         F.when(F.col("tier") == "primary", "primary-source")
         .when(F.coalesce("confirmed", F.lit(False)), "primary-confirmed")

@@ -50,24 +50,48 @@ def _drain(stream, folder):
     return stream.sparkSession.read.parquet(f"{folder}/out")
 
 
+def _in_landings(landings, start, folder):
+    """Every landing as a micro-batch of its own, resumed from the checkpoint; what the stream has written after the last."""
+    for landing in landings:
+        landing.write.mode("append").parquet(f"{folder}/landed")
+        out = _drain(start(flow.landed(landing.sparkSession, f"{folder}/landed", landing.schema)), folder)
+    return out
+
+
+def _late_landings(rows, at):
+    """Three landings; of the first's last 12 hours some rows come with the second, and some of that one's with the third."""
+    first, second = (F.lit(t).cast("timestamp") for t in ("2024-01-11", "2024-01-21"))
+    twelve = F.expr("interval 12 hours")
+    late = F.crc32(F.col(at).cast("string").cast("binary")) % 3 == 0
+    due = F.when(F.col(at) < first, F.when(late & (F.col(at) >= first - twelve), 2).otherwise(1)).when(
+        F.col(at) < second, F.when(late & (F.col(at) >= second - twelve), 3).otherwise(2)
+    ).otherwise(3)
+    return [rows.filter(due == n) for n in (1, 2, 3)]
+
+
 @query("w4_rate_stream", f"WITH RECURSIVE {RATE_SQL} SELECT event_id, start AS window_ms, seen <= {_BUDGET} AS allowed FROM walk")
 def _(spark, d):
+    """Three landings with late rows, then a row without a key that moves the watermark past the last window."""
     state.use_rocksdb(spark)
-    rows = state.rate_stream(_stream(spark, d, "events"), "user_id", "ts", "event_id", _WIDTH_MS, _BUDGET)
-    return _drain(rows, run_dir(spark, "rate")).select("event_id", "window_ms", "allowed")
+    e = table(spark, d, "events").select("event_id", F.col("user_id").cast("string").alias("user_id"), "ts")
+    tick = spark.createDataFrame([(-1, None)], "event_id long, user_id string").withColumn("ts", F.lit("2030-01-01").cast("timestamp"))
+    start = lambda rows: state.rate_stream(rows, "user_id", "ts", "event_id", _WIDTH_MS, _BUDGET, "24 hours")
+    return _in_landings([*_late_landings(e, "ts"), tick], start, run_dir(spark, "rate")).select("event_id", "window_ms", "allowed")
 
 
-@query("w3_fact_stream", """WITH e AS (SELECT event_id, 'v' || (user_id % 10) AS vendor, event_type AS dimension, CASE WHEN floor(value)::BIGINT % 2 = 0 THEN 'new' ELSE 'update' END AS kind, ts FROM events WHERE user_id % 11 <> 0)
-SELECT event_id AS fact_id, vendor, dimension, kind, CASE WHEN kind = 'update' THEN lag(event_id) OVER (PARTITION BY vendor, dimension ORDER BY ts, event_id) END AS previous_fact_id FROM e""")
+@query("w3_fact_stream", """WITH e AS (SELECT event_id, 'v' || (user_id % 10) AS vendor, event_type AS dimension, props, CASE WHEN floor(value)::BIGINT % 2 = 0 THEN 'new' ELSE 'update' END AS kind, ts FROM events WHERE user_id % 11 <> 0)
+SELECT event_id AS fact_id, vendor, dimension, kind, props AS fact, CASE WHEN kind = 'update' THEN lag(event_id) OVER w END AS previous_fact_id, CASE WHEN lead(kind) OVER w = 'update' THEN lead(event_id) OVER w END AS superseded_by
+FROM e WINDOW w AS (PARTITION BY vendor, dimension ORDER BY ts, event_id)""")
 def _(spark, d):
+    """Three landings with late rows: what the stream has told last is the chain a full replay gives."""
     state.use_rocksdb(spark)
-    e = _stream(spark, d, "events")
     u = F.col("user_id")
-    rows = e.select(
+    rows = table(spark, d, "events").select(
         F.col("event_id").alias("item_id"), F.when(u % 11 != 0, F.concat(F.lit("v"), (u % 10).cast("string"))).alias("vendor"), F.col("event_type").alias("dimension"),
         F.when(F.floor("value") % 2 == 0, "new").otherwise("update").alias("kind"), F.col("props").alias("after"), F.col("ts").alias("at"),
     )
-    return _drain(state.fact_stream(rows), run_dir(spark, "facts")).select("fact_id", "vendor", "dimension", "kind", "previous_fact_id")
+    told = _in_landings(_late_landings(rows, "at"), state.fact_stream, run_dir(spark, "facts"))
+    return state.latest_facts(told).select("fact_id", "vendor", "dimension", "kind", "fact", "previous_fact_id", "superseded_by")
 
 
 @query("w2_reseen_items", "SELECT user_id, event_type, count(DISTINCT user_id || event_type) AS n FROM events GROUP BY 1, 2")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,81 +20,162 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
+FACT_SCHEMA = (
+    "fact_id long, vendor string, dimension string, fact string, valid_from timestamp, kind string, "
+    "previous_fact_id long, superseded_by long, superseded_at timestamp, version long"
+)
+
+
 class FactChain(StatefulProcessor):
-    """Per (vendor, dimension): remember the newest fact and link every update to it."""
+    """Per (vendor, dimension): the facts that a row may still come before, in order, and the two before them.
+
+    A row that comes out of order finds its place between two facts; it and those beside it are told again with
+    the links they now have, under a higher version. Once the watermark has passed a fact nothing comes before it any more;
+    of those the newest stays, which may yet be superseded, and the one it points at. Facts are held as (time, item, kind), without their text.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._newest = handle.getValueState("newest", "fact_id long")
+        self._handle = handle
+        self._open = handle.getListState("open", "us long, fact_id long, kind string")
+        self._version = handle.getValueState("version", "version long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["at", "item_id"])
-        held = self._newest.get()
-        newest = held[0] if held else None
-        previous = []
-        for kind, item in zip(batch["kind"], batch["item_id"]):
-            previous.append(newest if kind == "update" else None)
-            newest = int(item)
-        self._newest.update((newest,))
-        out = batch.rename(columns={"item_id": "fact_id", "after": "fact", "at": "valid_from"})
-        out["previous_fact_id"] = pd.array(previous, dtype="Int64")
-        yield out[["fact_id", "vendor", "dimension", "fact", "valid_from", "kind", "previous_fact_id"]]
+        chain = [tuple(x) for x in self._open.get()]
+        version = (self._version.get() or (0,))[0]
+        for frame in rows:  # a chunk at a time; what a later chunk changes is told again
+            version += 1
+            texts = {}
+            for us, item, kind, after in zip(frame["us"].tolist(), frame["item_id"].tolist(), frame["kind"], frame["after"]):
+                insort(chain, (us, item, kind))
+                texts[us, item] = after
+            touched = set()
+            for us, item in texts:
+                at = bisect_left(chain, (us, item))
+                touched.update(i for i in (at - 1, at, at + 1) if 0 <= i < len(chain))
+            yield self._told(key, chain, sorted(touched), texts, version)
+        self._keep(chain, timerValues.getCurrentWatermarkInMs())
+        self._version.update((version,))
+
+    def _told(self, key, chain: list, places: list[int], texts: dict, version: int) -> pd.DataFrame:
+        out = []
+        for i in places:
+            us, item, kind = chain[i]
+            before = chain[i - 1] if i and kind == "update" else None
+            after = chain[i + 1] if i + 1 < len(chain) and chain[i + 1][2] == "update" else None
+            out.append((item, key[0], key[1], texts.get((us, item)), us, kind, before and before[1], after and after[1], after and after[0], version))
+        told = pd.DataFrame(out, columns=[c.split()[0] for c in FACT_SCHEMA.split(", ")])
+        for c in ("valid_from", "superseded_at"):
+            told[c] = pd.to_datetime(pd.array(told[c], dtype="Int64"), unit="us")
+        return told.astype({"previous_fact_id": "Int64", "superseded_by": "Int64"})
+
+    def _keep(self, chain: list, watermark_ms: int) -> None:
+        first = max(0, bisect_left(chain, (watermark_ms * 1000,)) - 2)
+        self._open.put(chain[first:])
+        if len(chain) - first > 2:
+            self._handle.registerTimer(chain[-1][0] // 1000 + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._keep([tuple(x) for x in self._open.get()], timerValues.getCurrentWatermarkInMs())
+        return iter(())
 
     def close(self) -> None:
         pass
 
 
-FACT_SCHEMA = (
-    "fact_id long, vendor string, dimension string, fact string, valid_from timestamp, kind string, previous_fact_id long"
-)
+def fact_stream(events: DataFrame, delay: str = "24 hours") -> DataFrame:
+    """Facts from a stream of change events (item_id, vendor, dimension, kind, after, at), with corrections.
+
+    A fact is told when its event comes, and told again, with a higher version, when a later row comes before or after it.
+    Rows up to ``delay`` behind the newest are placed; Spark drops those further behind. A correction leaves ``fact``
+    null: :func:`latest_facts` puts both together.
+    """
+    made = events.filter("vendor is not null and kind in ('new', 'update') and at is not null").withWatermark("at", delay)
+    return made.withColumn("us", F.unix_micros("at")).groupBy("vendor", "dimension").transformWithStateInPandas(
+        FactChain(), outputStructType=FACT_SCHEMA, outputMode="Append", timeMode="EventTime"
+    )
 
 
-def fact_stream(events: DataFrame) -> DataFrame:
-    """Facts from a stream of change events (item_id, vendor, dimension, kind, after, at). Batches
-    arrive oldest first; inside a batch rows are ordered per key."""
-    made = events.filter("vendor is not null and kind in ('new', 'update') and at is not null")
-    return made.groupBy("vendor", "dimension").transformWithStateInPandas(
-        FactChain(), outputStructType=FACT_SCHEMA, outputMode="Append", timeMode="None"
+def latest_facts(told: DataFrame) -> DataFrame:
+    """Every fact a stream has told, with the links it was last told with."""
+    links = F.max_by(F.struct("previous_fact_id", "superseded_by", "superseded_at"), "version").alias("_l")
+    return told.groupBy("fact_id", "vendor", "dimension", "valid_from", "kind").agg(F.max("fact").alias("fact"), links).select(
+        "fact_id", "vendor", "dimension", "fact", "valid_from", "kind", "_l.*"
     )
 
 
 class RateWindow(StatefulProcessor):
-    """Per key: the open window's start and how many events it has seen."""
+    """Per key: events that wait for the watermark, by slots of one window's length, and the open window.
+
+    A slot is decided once the watermark has passed its end, so its events are all there and in order; a key's events are
+    never held in one piece, only those of a slot. The state goes when the open window has ended and nothing waits.
+    """
 
     def __init__(self, width: int, budget: int):
         self._width, self._budget = width, budget
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
         self._window = handle.getValueState("window", "start long, seen long")
+        self._waiting = handle.getMapState("waiting", "slot long, chunk long", "ms array<long>, ids array<long>")
+        self._chunks = handle.getMapState("chunks", "slot long", "n long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["ms", "event_id"])
+        if key[0] is not None:  # a row without a key only moves the watermark
+            for frame in rows:
+                for slot, part in frame.groupby(frame["ms"] // self._width):
+                    n = self._chunks.getValue((int(slot),)) if self._chunks.containsKey((int(slot),)) else (0,)
+                    self._waiting.updateValue((int(slot), n[0]), (part["ms"].tolist(), part["event_id"].tolist()))
+                    self._chunks.updateValue((int(slot),), (n[0] + 1,))
+                    self._handle.registerTimer((int(slot) + 1) * self._width)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
         start, seen = self._window.get() or (None, 0)
-        opened, allowed = [], []
-        for ms in batch["ms"]:
-            if start is None or ms >= start + self._width:
-                start, seen = int(ms), 0
-            seen += 1
-            opened.append(start)
-            allowed.append(seen <= self._budget)
-        self._window.update((start, seen))
-        yield pd.DataFrame(
-            {"event_id": batch["event_id"], "key": batch["key"], "window_ms": opened, "allowed": allowed}
-        )
+        for slot in sorted(s[0] for s in self._chunks.keys()):
+            if (slot + 1) * self._width > now:
+                break
+            events: list[tuple[int, int]] = []
+            for chunk in range(self._chunks.getValue((slot,))[0]):
+                ms, ids = self._waiting.getValue((slot, chunk))
+                events.extend(zip(ms, ids))
+                self._waiting.removeKey((slot, chunk))
+            self._chunks.removeKey((slot,))
+            out = []
+            for ms, event in sorted(events):
+                if start is None or ms >= start + self._width:
+                    start, seen = ms, 0
+                seen += 1
+                out.append((event, key[0], start, seen <= self._budget))
+            yield pd.DataFrame(out, columns=["event_id", "key", "window_ms", "allowed"])
+        if start is None:
+            return
+        # What still waits may lie in the open window, though its slot reaches beyond; what comes later can't.
+        if start + self._width <= now and not any(True for _ in self._chunks.keys()):
+            self._window.clear()
+        else:
+            self._window.update((start, seen))
+            if start + self._width > now:
+                self._handle.registerTimer(start + self._width)
 
     def close(self) -> None:
         pass
 
 
 def rate_stream(
-    events: DataFrame, key: str, at: str, event_id: str, width: int = RATE_WINDOW_MS, budget: int = RATE_MAX_EVENTS
+    events: DataFrame, key: str, at: str, event_id: str, width: int = RATE_WINDOW_MS, budget: int = RATE_MAX_EVENTS, delay: str = "10 minutes"
 ) -> DataFrame:
-    """event_id, key, window_ms, allowed for a stream of events."""
-    rows = events.select(
-        F.col(key).cast("string").alias("key"), F.unix_millis(at).alias("ms"), F.col(event_id).cast("bigint").alias("event_id")
+    """event_id, key, window_ms, allowed for a stream of events.
+
+    Events are decided in the order of (time, id) when the watermark, ``delay`` behind the newest event, has passed the slot
+    they lie in; later ones are dropped by Spark. Rows without a key are not decided.
+    """
+    rows = events.withWatermark(at, delay).select(
+        F.col(key).cast("string").alias("key"), F.col(at), F.unix_millis(at).alias("ms"), F.col(event_id).cast("bigint").alias("event_id")
     )
     return rows.groupBy("key").transformWithStateInPandas(
         RateWindow(width, budget),
         outputStructType="event_id long, key string, window_ms long, allowed boolean",
         outputMode="Append",
-        timeMode="None",
+        timeMode="EventTime",
     )
