@@ -17,6 +17,7 @@ from tidewatch.schemas import (
     MAX_ENRICH_ATTEMPTS,
     MIN_QUOTE_CHARS,
 )
+from tidewatch.session import settle
 
 _NUMERIC = "^(BIGINT|DECIMAL.*|DOUBLE|FLOAT)$"
 
@@ -156,10 +157,10 @@ def work_list(items: DataFrame, at: str = "published_at", newest_first: bool = T
     return ordered if limit is None else ordered.limit(limit).withColumn("position", F.row_number().over(Window.orderBy(*order)))
 
 
-def with_positions(items: DataFrame, at: str = "published_at", newest_first: bool = True, key: str = "raw_item_id") -> DataFrame:
-    """All items with their ``position`` in the order of ``work_list``. Ranges of the order are numbered side by side."""
-    order = [F.desc_nulls_last(at) if newest_first else F.asc_nulls_first(at), F.asc(key)]
-    dealt = items.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).checkpoint()
+def with_positions(items: DataFrame, at: str = "published_at", newest_first: bool = True, key: str = "raw_item_id", order: list[Column] | None = None) -> DataFrame:
+    """All items with their ``position`` in the order of ``work_list``, or another one. Ranges of the order are numbered side by side."""
+    order = order or [F.desc_nulls_last(at) if newest_first else F.asc_nulls_first(at), F.asc(key)]
+    dealt = settle(items.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
     earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     before = dealt.groupBy("_range").count().select("_range", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_before"))
     position = F.col("_before") + F.row_number().over(Window.partitionBy("_range").orderBy(*order))

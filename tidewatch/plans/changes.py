@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewatch.functions.labels import dimension_of
-from tidewatch.operators import changes, contradiction
+from tidewatch.operators import changes, contradiction, facts
 from tidewatch.operators.contradiction import NEGATIONS, POLARITY, STOPWORDS, _stem_word
 from tidewatch.operators.sequence import top_per_key
 from tidewatch.plans.gates import TURN_PAIRS_SQL, turn_pairs
 from tidewatch.plans.registry import query
 from tidewatch.plans.views import NOW_SQL, SIGNALS_SQL, now, signals, sql_collapse, sql_fold, sql_sentences, sql_trim, table
+from tidewatch.session import settle
 
 
 def _missing_sql(these: str, others: str) -> str:
@@ -147,6 +148,44 @@ def _(spark, d):
     )
 
 
+PASSES_SQL = f"""{CHANGES_SQL},
+asked AS (SELECT item_id, vendor, dimension, kind, after, coalesce(ts0, {NOW_SQL}) AS ts FROM change_rows WHERE vendor IS NOT NULL),
+revised AS (SELECT item_id, vendor, dimension, CASE item_id % 5 WHEN 0 THEN 'new' WHEN 1 THEN 'duplicate' ELSE 'update' END AS kind,
+    CASE WHEN item_id % 2 = 0 THEN after ELSE 'Revised. ' || after END AS after, ts, kind IN ('new', 'update') AND item_id % 2 = 0 AS unchanged FROM asked WHERE item_id % 7 <> 0 AND item_id % 3 = 0),
+ops AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY vendor, dimension ORDER BY batch, ts, item_id) AS n FROM (
+    SELECT 0::BIGINT AS batch, vendor, dimension, item_id, kind, after, ts FROM asked WHERE item_id % 7 <> 0
+    UNION ALL SELECT 1, vendor, dimension, item_id, kind, after, ts FROM asked WHERE item_id % 7 = 0
+    UNION ALL SELECT 1, vendor, dimension, item_id, kind, after, ts FROM revised WHERE NOT unchanged) WHERE kind IN ('new', 'update')),
+walk AS (
+  SELECT vendor, dimension, 0::BIGINT AS n, []::STRUCT(ts TIMESTAMP, b BIGINT, i BIGINT)[] AS held, NULL::STRUCT(ts TIMESTAMP, b BIGINT, i BIGINT) AS gone, NULL::BIGINT AS batch, NULL::BIGINT AS item_id, NULL::VARCHAR AS after
+  FROM (SELECT DISTINCT vendor, dimension FROM ops)
+  UNION ALL
+  SELECT vendor, dimension, n, list_append(CASE WHEN gone IS NULL THEN held ELSE list_filter(held, lambda x: x <> gone) END, {{'ts': ts, 'b': batch, 'i': item_id}}), gone, batch, item_id, after
+  FROM (SELECT o.*, w.held, CASE WHEN o.kind = 'update' THEN coalesce(list_max(list_filter(w.held, lambda x: x.i = o.item_id)), list_max(w.held)) END AS gone
+        FROM walk w JOIN ops o ON o.vendor = w.vendor AND o.dimension = w.dimension AND o.n = w.n + 1)),
+log AS MATERIALIZED (SELECT batch, item_id, vendor, dimension, after AS fact, gone.b AS previous_batch, gone.i AS previous_item FROM walk WHERE n > 0)"""
+
+
+@query("d5_two_passes", f"""WITH RECURSIVE {PASSES_SQL}
+SELECT l.batch, l.item_id, l.vendor, l.dimension, l.fact, l.previous_batch, l.previous_item, r.batch AS superseded_batch, r.item_id AS superseded_by
+FROM log l LEFT JOIN log r ON r.previous_batch = l.batch AND r.previous_item = l.item_id""")
+def _(spark, d):
+    """A first pass over most items; a second over those that came late, and over revised ones, some of them unchanged."""
+    rows = settle(change_rows(spark, d))
+    late = F.col("item_id") % 7 == 0
+    k = F.col("item_id") % 5
+    revised = rows.filter(~late & (F.col("item_id") % 3 == 0)).withColumns(
+        {
+            "kind": F.when(k == 0, "new").when(k == 1, "duplicate").otherwise("update"),
+            "after": F.when(F.col("item_id") % 2 == 0, F.col("after")).otherwise(F.concat(F.lit("Revised. "), "after")),
+        }
+    )
+    log = facts.empty_log(spark)
+    for batch, events in enumerate((rows.filter(~late), rows.filter(late).unionByName(revised))):
+        log = log.plus(facts.advance(log, events, batch, now()))
+    return facts.all_facts(log).select("batch", "item_id", "vendor", "dimension", "fact", "previous_batch", "previous_item", "superseded_batch", "superseded_by")
+
+
 @query("d5_undated_facts", f"""WITH {CHANGES_SQL}, dated AS (SELECT *, coalesce(ts0, {NOW_SQL}) AS at0 FROM change_rows WHERE vendor IS NOT NULL AND kind IN ('new', 'update'))
 SELECT item_id AS fact_id, epoch_us(at0) AS from_us, CASE WHEN kind = 'update' THEN lag(item_id) OVER w END AS previous_fact_id, CASE WHEN lead(kind) OVER w = 'update' THEN lead(item_id) OVER w END AS superseded_by
 FROM dated WINDOW w AS (PARTITION BY vendor, dimension ORDER BY at0, item_id)""")
@@ -195,37 +234,8 @@ def _(spark, d):
     return changes.kind_report(change_rows(spark, d))
 
 
+# Every document takes the embedding its id comes to when divided by their number, as in the search queries.
 @query("d10_golden_evaluation", f"""
-WITH p AS (SELECT a.doc_id AS id, CASE WHEN a.doc_id % 10 <> 0 THEN a.text END AS prior, b.text AS next, a.lang = b.lang AS revised, l.quality, list_transform(x.embedding, lambda v: v::DOUBLE) AS va, list_transform(y.embedding, lambda v: v::DOUBLE) AS vb
-  FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 JOIN labels l ON l.doc_id = a.doc_id JOIN embeddings x ON x.vec_id = a.doc_id JOIN embeddings y ON y.vec_id = b.doc_id),
-ks AS (SELECT *, {sql_sentences("coalesce(prior, '')")} AS sa, {sql_sentences('next')} AS sb FROM p),
-kk AS (SELECT *, list_transform(sa, lambda x: {sql_fold('x')}) AS ka, list_transform(sb, lambda x: {sql_fold('x')}) AS kb FROM ks),
-r AS (SELECT id, CASE WHEN revised AND prior IS NOT NULL THEN CASE WHEN list_sort(list_distinct(ka)) = list_sort(list_distinct(kb)) THEN 'duplicate' ELSE 'update' END
-    WHEN prior IS NULL THEN 'new' WHEN list_dot_product(va, vb) >= 0.1 THEN 'rephrase' ELSE 'new' END AS actual,
-    CASE WHEN quality = 1 THEN 'update' ELSE 'new' END AS expected FROM kk)
-SELECT expected, actual, count(*) AS n FROM r GROUP BY 1, 2
-UNION ALL SELECT 'all', 'correct', count(*) FILTER (actual = expected) FROM r""")
-def _(spark, d):
-    docs = table(spark, d, "documents")
-    nxt = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("next"), F.col("lang").alias("next_lang"))
-    v = table(spark, d, "embeddings")
-    pairs = (
-        docs.join(nxt, "doc_id").join(table(spark, d, "labels"), "doc_id")
-        .join(v.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("prior_vector")), "doc_id")
-        .join(v.select((F.col("vec_id") - 1).alias("doc_id"), F.col("embedding").alias("next_vector")), "doc_id")
-        .select(
-            F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 10 != 0, F.col("text")).alias("prior"), "next", (F.col("lang") == F.col("next_lang")).alias("revised"),
-            F.when(F.col("quality") == 1, "update").otherwise("new").alias("expected"), "prior_vector", "next_vector",
-        )
-    )
-    results = changes.evaluate_pairs(pairs, 0.1)
-    table_of = results.groupBy("expected", "actual").agg(F.count("*").alias("n"))
-    return table_of.unionByName(changes.accuracy(results).select(F.lit("all").alias("expected"), F.lit("correct").alias("actual"), F.col("correct").alias("n")))
-
-
-# The query above evaluates only documents whose id is that of a vector; here every document takes the embedding
-# its id comes to when divided by their number, as in the search queries.
-@query("d10_golden_evaluation_all_pairs", f"""
 WITH p AS (SELECT a.doc_id AS id, CASE WHEN a.doc_id % 10 <> 0 THEN a.text END AS prior, b.text AS next, a.lang = b.lang AS revised, l.quality, list_transform(x.embedding, lambda v: v::DOUBLE) AS va, list_transform(y.embedding, lambda v: v::DOUBLE) AS vb
   FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 JOIN labels l ON l.doc_id = a.doc_id JOIN embeddings x ON x.vec_id = a.doc_id % (SELECT count(*) FROM embeddings) JOIN embeddings y ON y.vec_id = b.doc_id % (SELECT count(*) FROM embeddings)),
 ks AS (SELECT *, {sql_sentences("coalesce(prior, '')")} AS sa, {sql_sentences('next')} AS sb FROM p),

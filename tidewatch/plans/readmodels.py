@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewatch.operators import cards, evidence, notify, ranking
+from tidewatch.operators import cards, contradiction, evidence, gates, notify, ranking
 from tidewatch.operators.sequence import top_per_key
-from tidewatch.plans.changes import CHANGES_SQL, event_rows
+from tidewatch.plans.changes import CHANGES_SQL, CLAIM_SQL, CLAIMS, VERDICT_SQL, event_rows
 from tidewatch.plans.registry import query
 from tidewatch.schemas import PAGE_SCAN_CHARS
+from tidewatch.session import settle
 from tidewatch.plans.scalar import html_text_sql
 from tidewatch.plans.views import FOCUS, NOW_SQL, NOW_TEXT, SIGNALS_SQL, enriched, now, raw_items, signals, sources, sql_collapse, table
 from tidewatch.functions.labels import string_array
@@ -41,17 +42,39 @@ def _(spark, d):
     return ranking.extractive_claims(items)
 
 
-@query("p8_a11_brief_decoration", f"""WITH {CHANGES_SQL}, ranked AS ({_BRIEF}), brief AS (SELECT * FROM ranked WHERE position <= 8),
-m AS (SELECT trigger_item_id FROM change_events WHERE kind IN ('new', 'update') AND materiality >= 4)
-SELECT id, id IN (SELECT trigger_item_id FROM m) AS state_change, tier AS corroboration,
-  CASE WHEN position <= 3 THEN regexp_extract(summary, '^(.*?[.!?])\\s', 1) ELSE '' END AS quotes, position IN (1, 2) AS contested FROM brief""")
-def _(spark, d):
-    s = signals(spark, d)
-    items = ranking.brief_items(s, now()).withColumn("content", F.col("summary"))
-    material = ranking.material_changes(event_rows(spark, d), items.select("id"))
-    verdicts = s.select(F.col("id").alias("raw_item_id"), F.col("tier").alias("status"))
-    two = items.filter("position <= 2").groupBy().agg(F.collect_list(F.struct(F.col("id").alias("sourceId"))).alias("sides"))
-    out = ranking.decorate_brief(items, material, verdicts, ranking.extractive_claims(items), two)
+# A long brief, so that both sides of some conflicts are in it; each item's text ends with a claim.
+_DECORATED = 500
+_CLAIMED = "summary || ' ' || c[(id % {n} + 1)::INT]".format(n=len(CLAIMS))
+_DECORATION_SQL = f"""{CHANGES_SQL}, ranked AS ({_BRIEF}), brief AS (SELECT * FROM ranked WHERE position <= {_DECORATED}),
+texts AS (SELECT {'[' + ', '.join("'" + c.replace("'", "''") + "'" for c in CLAIMS) + ']'} AS c),
+said AS (SELECT id, {_CLAIMED} AS text FROM brief, texts),
+claims AS (SELECT x.id AS conv_id, p.id AS turn, x.text AS a, p.text AS b FROM change_events e JOIN said x ON x.id = e.trigger_item_id JOIN said p ON p.id = e.previous_fact_id WHERE e.kind = 'update')"""
+
+
+@query("p8_a11_brief_decoration", f"""WITH {VERDICT_SQL.replace(CLAIM_SQL, _DECORATION_SQL, 1)},
+m AS (SELECT trigger_item_id FROM change_events WHERE kind IN ('new', 'update') AND materiality >= 4),
+sides AS (SELECT conv_id AS id FROM verdicts WHERE len(signals) > 0 UNION SELECT turn FROM verdicts WHERE len(signals) > 0),
+v AS MATERIALIZED (SELECT s.id, s.vendor, s.tier, s.published_at, list_transform(x.embedding, lambda y: y::DOUBLE) AS e FROM scored s JOIN embeddings x ON x.vec_id = s.id % (SELECT count(*) FROM embeddings)),
+met AS (SELECT q.id, bool_or(c.tier = 'primary') AS confirmed FROM v q JOIN v c ON c.vendor = q.vendor AND c.id <> q.id AND (q.published_at IS NULL OR c.published_at IS NULL OR abs(epoch_us(q.published_at) - epoch_us(c.published_at)) <= 604800000000)
+  WHERE q.id IN (SELECT id FROM brief) AND round(1 - list_distance(q.e, c.e) * list_distance(q.e, c.e) / 2, 9) >= 0.9 GROUP BY 1)
+SELECT b.id, b.id IN (SELECT trigger_item_id FROM m) AS state_change, CASE WHEN b.tier = 'primary' THEN 'primary-source' WHEN met.confirmed THEN 'primary-confirmed' WHEN met.id IS NOT NULL THEN 'secondary-corroborated' ELSE 'single-source' END AS corroboration,
+  CASE WHEN position <= 3 THEN regexp_extract(summary, '^(.*?[.!?])\\s', 1) ELSE '' END AS quotes, b.id IN (SELECT id FROM sides) AS contested FROM brief b LEFT JOIN met ON met.id = b.id""")
+def _(spark, d):
+    """The brief with the corroboration that other signals give its items and the conflicts between them."""
+    s = settle(signals(spark, d))
+    items = settle(ranking.brief_items(s, now(), _DECORATED).withColumn("content", F.col("summary")))
+    claim = lambda i: F.get(F.array(*[F.lit(c) for c in CLAIMS]), (i % len(CLAIMS)).cast("int"))
+    events = event_rows(spark, d)
+    n = table(spark, d, "embeddings").count()
+    vectors = table(spark, d, "embeddings").select((F.col("vec_id") % n).alias("_v"), F.col("embedding").alias("vector"))
+    seen = s.select("id", "vendor", "tier", F.col("published_at").alias("at"), (F.col("id") % n).alias("_v")).join(vectors, "_v").drop("_v")
+    asked = seen.join(items.select("id"), "id", "left_semi").withColumnRenamed("id", "raw_item_id")
+    verdicts, _ = evidence.corroborate(asked, seen.withColumn("chunk_id", F.col("id")).withColumnRenamed("id", "item_id"), threshold=0.9)
+    told = items.select("id", "title", "content", F.concat_ws(" ", "summary", claim(F.col("id"))).alias("summary"))
+    updates = events.withColumn("after", F.concat_ws(" ", "after", claim(F.col("trigger_item_id"))))
+    made = updates.select(F.col("new_fact_id").alias("fact_id"), F.col("trigger_item_id").alias("evidence_item_id")).filter("fact_id is not null")
+    conflicts = contradiction.structural_conflicts(updates, made, told)
+    out = ranking.decorate_brief(items, ranking.material_changes(events, items.select("id")), verdicts, ranking.extractive_claims(items), conflicts)
     return out.select("id", "state_change", "corroboration", F.array_join("quotes", "|").alias("quotes"), "contested")
 
 
@@ -66,11 +89,9 @@ def _(spark, d):
     return ranking.filter_signals(signals(spark, d), vendor="V3").filter(F.col("category").isin("Security", "Pricing")).select("id")
 
 
-@query("r4_feed_order_title", f"""WITH {SIGNALS_SQL} SELECT id, row_number() OVER (ORDER BY title ASC NULLS FIRST, id DESC) AS place FROM signals QUALIFY place <= 40""")
+@query("r4_feed_order_title", f"WITH {SIGNALS_SQL} SELECT id, row_number() OVER (ORDER BY title ASC NULLS FIRST, id DESC) AS place FROM signals")
 def _(spark, d):
-    rows = signals(spark, d).orderBy(*ranking.feed_order("title", "asc")).limit(40)
-    packed = rows.agg(F.array_sort(F.collect_list(F.struct("title", (-F.col("id")).alias("n"), "id"))).alias("r"))
-    return packed.select(F.posexplode("r").alias("p", "r")).select(F.col("r.id").alias("id"), (F.col("p") + 1).alias("place"))
+    return gates.with_positions(signals(spark, d), order=ranking.feed_order("title", "asc")).select("id", F.col("position").alias("place"))
 
 
 @query("r5_a3_signals_page", f"""WITH {SIGNALS_SQL}, f AS (SELECT * FROM signals WHERE vendor IS NOT NULL AND impact_score >= 2 AND category = 'Security'),
@@ -405,13 +426,16 @@ def battlecards(spark, d):
     return cards.battlecards(signals(spark, d), matrix_vendors(spark, d), matrix_axes(spark, d), matrix_cells(spark, d), FOCUS, now())
 
 
-@query("b2_battlecards", f"""WITH {CARDS_SQL}
-SELECT vendor, len(ours) AS n_ours, len(theirs) AS n_theirs, len(par) AS n_parity, array_to_string(list_transform(rec, lambda r: r.id), ',') AS recent,
-  CASE WHEN len(ours) + len(theirs) + len(par) = 0 THEN vendor || ' isn''t on the {FOCUS} comparison matrix yet — positioning here is based on '
+_CARD_SUMMARY_SQL = f"""CASE WHEN len(ours) + len(theirs) + len(par) = 0 THEN vendor || ' isn''t on the {FOCUS} comparison matrix yet — positioning here is based on '
       || CASE WHEN len(rec) = 0 THEN 'no tracked insights for ' || vendor || ' yet' ELSE len(rec) || ' tracked insight' || CASE WHEN len(rec) = 1 THEN '' ELSE 's' END END || '.'
     ELSE 'Against ' || vendor || ', {FOCUS} leads on ' || len(ours) || ' axis' || CASE WHEN len(ours) = 1 THEN '' ELSE 'es' END || CASE WHEN len(ours) > 0 THEN ' (' || array_to_string(ours[1:3], ', ') || ')' ELSE '' END || '.'
       || CASE WHEN len(theirs) > 0 THEN ' ' || vendor || ' is strongest on ' || array_to_string(theirs[1:3], ', ') || '.' ELSE ' ' || vendor || ' shows no clearly differentiated axis in our matrix.' END END
-    || CASE WHEN len(rec) > 0 THEN ' Latest tracked move: ' || rec[1].summary || ' [#' || rec[1].id || ']' ELSE '' END AS summary,
+    || CASE WHEN len(rec) > 0 THEN ' Latest tracked move: ' || rec[1].summary || ' [#' || rec[1].id || ']' ELSE '' END"""
+
+
+@query("b2_battlecards", f"""WITH {CARDS_SQL}
+SELECT vendor, len(ours) AS n_ours, len(theirs) AS n_theirs, len(par) AS n_parity, array_to_string(list_transform(rec, lambda r: r.id), ',') AS recent,
+  {_CARD_SUMMARY_SQL} AS summary,
   (len(ours) > 0)::INT + (len(theirs) > 0)::INT + (len(rec) > 0)::INT AS n_points FROM cards""")
 def _(spark, d):
     return battlecards(spark, d).select(
@@ -436,14 +460,30 @@ def _(spark, d):
     return cards.staleness(stored, signals(spark, d, "created_at"))
 
 
-@query("s14_markdown", f"""WITH {CARDS_SQL} SELECT vendor, '# Battlecard — {FOCUS} vs. ' || vendor AS first_line, len(rec) AS n_recent, len(ours) AS n_wins FROM cards""")
-def _(spark, d):
-    md = battlecards(spark, d).select("vendor", cards.to_markdown(FOCUS, now()).alias("md"))
-    lines = F.split("md", "\n")
-    return md.select(
-        "vendor", F.get(lines, 0).alias("first_line"), F.size(F.filter(lines, lambda x: x.rlike(r"^- \*\*User|^- \*\*[A-Z][a-z]+ by user"))).alias("n_recent"),
-        F.size(F.filter(lines, lambda x: x.contains("_(vs. "))).alias("n_wins"),
-    )
+_EXPORT_SQL = f"""{CARDS_SQL},
+named AS (SELECT *, array_to_string(list_transform(string_split(lower(r_name), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS axis_label FROM split),
+sides AS (SELECT vendor, string_agg('- **' || axis_label || '** — ' || our_note || ' _(vs. ' || their_note || ')_', chr(10) ORDER BY axis_order) FILTER (edge = 'ours') AS wins,
+    string_agg('- **' || axis_label || '** — ' || their_note, chr(10) ORDER BY axis_order) FILTER (edge = 'theirs') AS watch FROM named GROUP BY 1),
+last AS (SELECT vendor, string_agg('- **' || title || '**' || coalesce(' (' || strftime(published_at, '%Y-%m-%d') || ')', '') || ' — ' || summary || ' [#' || id || ']', chr(10) ORDER BY r) AS recent,
+    string_agg('- [#' || id || '] [' || title || '](' || url || ')', chr(10) ORDER BY r) AS sources
+  FROM (SELECT *, row_number() OVER (PARTITION BY vendor ORDER BY score DESC, published_at DESC NULLS LAST, id DESC) AS r FROM scored WHERE vendor IS NOT NULL) WHERE r <= 5 GROUP BY 1),
+lines AS (SELECT c.vendor, regexp_replace({_CARD_SUMMARY_SQL}, '\\s*\\[#\\d+\\]', '', 'g') AS positioning, wins, watch, recent, sources, array_to_string(list_filter([
+    CASE WHEN len(ours) > 0 THEN '- Lead with {FOCUS}''s edge on ' || array_to_string(ours[1:2], ' and ') || '.' END,
+    CASE WHEN len(theirs) > 0 THEN '- Prepare to counter ' || c.vendor || ' on ' || array_to_string(theirs[1:2], ' and ') || '.' END,
+    CASE WHEN len(rec) > 0 THEN '- Reference recent movement: "' || rec[1].title || '".' END], lambda x: x IS NOT NULL), chr(10)) AS points
+  FROM (SELECT *, vendor AS v FROM cards) c LEFT JOIN sides USING (vendor) LEFT JOIN last USING (vendor))"""
+
+
+@query("s14_markdown", f"""WITH {_EXPORT_SQL} SELECT vendor, array_to_string(list_filter([
+  '# Battlecard — {FOCUS} vs. ' || vendor || chr(10) || chr(10) || '_Generated {NOW_TEXT[:10]} from tracked insights._' || chr(10),
+  '## Positioning' || chr(10) || positioning || chr(10),
+  '## Where {FOCUS} wins' || chr(10) || coalesce(wins, '- No differentiated advantage in the current matrix.') || chr(10),
+  '## Watch-outs (' || vendor || ' strengths)' || chr(10) || coalesce(watch, '- None flagged in the current matrix.') || chr(10),
+  CASE WHEN points <> '' THEN '## Talking points' || chr(10) || points || chr(10) END,
+  '## Recent activity' || chr(10) || coalesce(recent, '- No tracked insights yet.') || chr(10),
+  '## Sources' || chr(10) || sources || chr(10)], lambda x: x IS NOT NULL), chr(10)) AS markdown FROM lines""")
+def _(spark, d):
+    return battlecards(spark, d).select("vendor", cards.to_markdown(FOCUS, now()).alias("markdown"))
 
 
 @query("r9_global_search", f"""WITH {CHANGES_SQL}, {MATRIX_SQL},

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from tidewatch.functions.labels import string_array
 from tidewatch.functions.text import first_sentence
 from tidewatch.operators.ranking import spine
+from tidewatch.session import file_size
 
 NOW_TEXT = "2024-01-31 00:00:00"
 FOCUS = "v0"
+SPLIT_BYTES = 128 << 20
 
 
 def now() -> Column:
@@ -30,10 +32,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use every core for text work when the scan has fewer splits than that (one small file). A
-    scan with enough splits is left as it is, so nothing large is ever shuffled for this."""
+    """Use every core for text work when the table is one file of less than a split for each. Any other table is left as it
+    is, so nothing large is ever shuffled for this."""
+    files = df.inputFiles()
+    if len(files) != 1:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if file_size(df.sparkSession, files[0]) < cores * SPLIT_BYTES else df
 
 
 def _category(event_type: Column) -> Column:

@@ -40,14 +40,22 @@ def _path(spark: SparkSession, path: str):
     return jvm_path, jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def file_size(spark: SparkSession, path: str) -> int:
+    target, fs = _path(spark, path)
+    return fs.getFileStatus(target).getLen()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; where none is set, one in the home folder of the default file system.
 
-    That file system is the one every executor sees, so a table written here is read by all of them.
+    A table written here must be seen by every executor, so on a cluster whose default file system is a machine's own disk
+    the folder has to be set.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not configured:
         fs = spark.sparkContext._jvm.org.apache.hadoop.fs.FileSystem.get(spark.sparkContext._jsc.hadoopConfiguration())
+        if fs.getScheme() == "file" and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = f"{fs.getHomeDirectory().toString().rstrip('/')}/.tidewatch"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(configured)
