@@ -313,6 +313,18 @@ def test_mix_meets_its_targets(spark):
     assert mixing.mix(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_mix_of_heavy_tailed_sizes_leaves_nothing_that_fits(spark):
+    rng = random.Random(41)
+    rows = [(i, "w " * max(1, int(rng.lognormvariate(2, 2))), "abc"[i % 3]) for i in range(900)]
+    got = mixing.mix(docs(spark, rows)).collect()
+    for source in "abc":
+        mine = [r for r in got if r.source == source]
+        gap = mine[0].target - sum(r.taken for r in mine)
+        rate = min(3.0, mine[0].target / mine[0].source_size)
+        open_ = [r.size for r in mine if r.n_copies == math.floor(rate) and rate < 3 and rate > math.floor(rate)]
+        assert -1e-6 <= gap < min(open_, default=math.inf)
+
+
 def test_mix_of_awkward_rows_and_importance(spark):
     d = docs(spark, AWKWARD)
     assert sorted((r.doc_id or 0, r.size, r.n_copies) for r in mixing.mix(d).collect())[0][1] == 3

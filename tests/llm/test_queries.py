@@ -16,7 +16,7 @@ import __spark_entry__
 import corpus_pipeline
 from tests.llm.test_operators import near_plain, plain_spans, plain_targets
 from tests.oracle import compare, connect
-from tidewatch.llm import byte_bpe, cover_tree, mixing, queries, secrets, sharding
+from tidewatch.llm import byte_bpe, cover_tree, queries, secrets, sharding
 
 SF_DIR = os.environ.get("TIDEWATCH_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables not present")
@@ -128,7 +128,7 @@ def plain_mix(docs):
         mine = [i for i, r in enumerate(docs) if r.source == source]
         gap = targets[source] - sum(copies[i] * sizes[i] for i in mine)
         open_ = sorted((i for i in mine if ranks[i] < math.inf), key=lambda i: ranks[i])
-        for _ in range(mixing.PASSES):
+        while any(sizes[i] <= gap for i in open_):
             used, taken = 0, []
             for i in (i for i in open_ if sizes[i] <= gap):
                 if used + sizes[i] > gap:

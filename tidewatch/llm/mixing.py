@@ -3,7 +3,8 @@
 A source's target is met in two steps. Every document first gets the whole copies its expected count holds for certain.
 What is left of the target is filled by Pareto order sampling: each document draws a uniform number, its rank is its
 random odds divided by its inclusion odds, and the lowest ranks are taken until the words run out. The words of a sample
-are fixed to within a document; the gap the last one leaves is filled by further passes over documents that still fit.
+are fixed to within a document; the gap the last one leaves is filled by further passes over documents that still fit,
+until a pass finds none.
 Draws come from a hash of the document, so reruns agree.
 
 Only expressions of DataFrames are used. What moves is one small row per document; the decision comes down to a few
@@ -19,7 +20,6 @@ from tidewatch.llm.common import stored, whole
 
 MAX_COPIES = 3
 WEIGHTS = (5, 2, 1)
-PASSES = 3
 SLICES = 4_096  # parts of a source's rank order that are added up on their own
 BROADCAST_SOURCES = 50_000  # above this many sources their thresholds are joined by shuffle
 WORD = r"[^\x20\x09-\x0D]+"
@@ -95,10 +95,12 @@ def _cuts(rows: DataFrame, gaps: DataFrame, n: int) -> DataFrame:
     return stored(whole_slices.unionByName(within).groupBy("source").agg(F.max("rank").alias("cut"), F.max("through").alias("words")), "cuts")
 
 
-def plan(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies: int = MAX_COPIES, passes: int = PASSES, slices: int = SLICES) -> DataFrame:
-    """Per source: source_size, target, load, and for every pass the gap before it and the rank at which it ends.
+def plan(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies: int = MAX_COPIES, slices: int = SLICES) -> tuple[DataFrame, int]:
+    """(per source: source_size, target, load, and for every pass the gap before it and the rank at which it ends; passes).
 
-    rows: (source, size, u, importance), read several times, so hand in a written table.
+    rows: (source, size, u, importance), read several times, so hand in a written table. A pass takes at least the document
+    of least rank that fits, so passes end when none fits any more; each leaves less than the next document's size. Only rows
+    that repeat an id and text, which share a rank and go together, may stay though one of them would fit.
     """
     loads = stored(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("importance")).alias("load")), "loads")
     per = stored(_with_sources(targets(loads.select("source", "source_size"), weights, max_copies), loads.select("source", "load")), "targets")
@@ -106,11 +108,15 @@ def plan(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies: int
     certain = stored(ranked.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("certain")), "certain")
     per = stored(_with_sources(per, certain).withColumn("gap1", F.col("target") - F.col("certain")).drop("certain"), "targets")
     open_rows = ranked.select("source", "rank", "size")
-    for k in range(1, passes + 1):
+    k = 0
+    while True:
+        k += 1
         left = open_rows if k == 1 else _with_sources(open_rows, per.select("source", *_ends(k - 1))).where(~_taken(k - 1)).select("source", "rank", "size")
-        cuts = _cuts(left, per.select("source", F.col(f"gap{k}").alias("gap")), slices).withColumnRenamed("cut", f"cut{k}")
+        cuts = _cuts(left, per.select("source", F.col(f"gap{k}").alias("gap")), slices)
+        if cuts.isEmpty():
+            return per.drop(f"gap{k}"), k - 1
+        cuts = cuts.withColumnRenamed("cut", f"cut{k}")
         per = stored(_with_sources(per, cuts).withColumn(f"gap{k + 1}", F.col(f"gap{k}") - F.coalesce("words", F.lit(0))).drop("words"), "targets")
-    return per
 
 
 def _ends(passes: int) -> list[str]:
@@ -119,6 +125,8 @@ def _ends(passes: int) -> list[str]:
 
 def _taken(passes: int) -> Column:
     """Whether one of the passes took the document: it fitted the gap then, and its rank lies within the cut."""
+    if not passes:
+        return F.lit(False)
     parts = [F.coalesce((F.col("size") <= F.col(f"gap{k}")) & (F.col("rank") <= F.col(f"cut{k}")), F.lit(False)) for k in range(1, passes + 1)]
     out = parts[0]
     for part in parts[1:]:
@@ -132,10 +140,10 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size_of(text_col).alias("size"), draw(id_col, text_col).alias("u"), importance.alias("importance"))
 
 
-def apply_plan(rows: DataFrame, per: DataFrame, max_copies: int = MAX_COPIES, passes: int = PASSES) -> DataFrame:
+def apply_plan(rows: DataFrame, per: DataFrame, passes: int, max_copies: int = MAX_COPIES) -> DataFrame:
     """`rows` with their source's size and target, and n_copies: how often the mix holds the document."""
     joined = _expected(_with_sources(rows, per), max_copies)
-    return joined.withColumn("n_copies", (F.col("copies") + _taken(passes).cast("long")).cast("long")).drop("copies", "rank", "load", *_ends(passes), f"gap{passes + 1}")
+    return joined.withColumn("n_copies", (F.col("copies") + _taken(passes).cast("long")).cast("long")).drop("copies", "rank", "load", *_ends(passes))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, weights: tuple[float, ...] = WEIGHTS, max_copies: int = MAX_COPIES, importance_col: str | None = None) -> DataFrame:
@@ -147,7 +155,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     draw the same number and are taken or left together. An empty table gives an empty result.
     """
     rows = stored(measured(docs, id_col, text_col, source_col, importance_col), "sizes")
-    out = apply_plan(rows, plan(rows, weights, max_copies), max_copies)
+    out = apply_plan(rows, *plan(rows, weights, max_copies), max_copies)
     return out.select("doc_id", "source", "size", "source_size", "target", "n_copies", (F.col("n_copies") * F.col("size")).alias("taken"))
 
 
@@ -156,8 +164,8 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     The thresholds per source are applied while the documents are read, so no text is shuffled.
     """
-    per = plan(stored(measured(docs, id_col, text_col, source_col), "sizes"), weights, max_copies)
+    per, passes = plan(stored(measured(docs, id_col, text_col, source_col), "sizes"), weights, max_copies)
     row = F.struct(*[F.col(c) for c in docs.columns]).alias("_row")
     work = docs.select(row, F.col(source_col).alias("source"), size_of(text_col).alias("size"), draw(id_col, text_col).alias("u"), F.lit(1.0).alias("importance"))
-    counted = apply_plan(work, per, max_copies)
+    counted = apply_plan(work, per, passes, max_copies)
     return counted.where("n_copies > 0").select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies")))).select("_row.*")

@@ -72,23 +72,9 @@ def op7_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op7_sql() -> str:
-    passes = []
-    for k in range(1, mixing.PASSES + 1):
-        before = "ranked" if k == 1 else f"left{k - 1}"
-        gaps = "gap0" if k == 1 else f"gap{k - 1}"
-        passes.append(
-            f"""
-run{k} AS (SELECT r.*, g.gap, sum(size) OVER (PARTITION BY r.source ORDER BY rank) AS through
-           FROM {before} r JOIN {gaps} g ON r.source IS NOT DISTINCT FROM g.source WHERE size <= g.gap AND rank < 'infinity'::DOUBLE),
-took{k} AS (SELECT * FROM run{k} WHERE through <= gap),
-gap{k} AS (SELECT g.source, g.gap - coalesce(w, 0) AS gap FROM {gaps} g
-           LEFT JOIN (SELECT source, sum(size) AS w FROM took{k} GROUP BY source) t ON g.source IS NOT DISTINCT FROM t.source),
-left{k} AS (SELECT * FROM {before} WHERE doc_id NOT IN (SELECT doc_id FROM took{k}))"""
-        )
-    took = " UNION ALL ".join(f"SELECT doc_id FROM took{k}" for k in range(1, mixing.PASSES + 1))
     weights = ", ".join(f"{float(w)}::DOUBLE" for w in mixing.WEIGHTS)
     return f"""
-WITH docs AS (
+WITH RECURSIVE docs AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
          (('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))), 1, 12))::BIGINT + 0.5::DOUBLE) / {float(1 << 48)}::DOUBLE AS u
   FROM documents),
@@ -105,8 +91,15 @@ ranked AS (SELECT *, floor(e)::BIGINT AS copies,
                   CASE WHEN size > 0 AND e < {mixing.MAX_COPIES} AND e > floor(e) THEN (u / (1 - u)) / ((e - floor(e)) / (1 - (e - floor(e)))) ELSE 'infinity'::DOUBLE END AS rank
            FROM expected),
 gap0 AS (SELECT source, max(target) - sum(copies * size) AS gap FROM ranked GROUP BY source),
-{','.join(passes)}
-SELECT doc_id, size, source_size, target, ((copies + (doc_id IN ({took}))::BIGINT) * size)::BIGINT AS taken FROM ranked
+passes AS (
+  SELECT 1 AS pass, source, doc_id, rank, size, gap, sum(size) OVER (PARTITION BY source ORDER BY rank) AS through
+  FROM (SELECT r.*, gap FROM ranked r JOIN gap0 g ON r.source IS NOT DISTINCT FROM g.source WHERE size <= gap AND rank < 'infinity'::DOUBLE)
+  UNION ALL
+  SELECT pass + 1, source, doc_id, rank, size, gap, sum(size) OVER (PARTITION BY source ORDER BY rank)
+  FROM (SELECT * REPLACE (gap - words AS gap) FROM (SELECT *, max(CASE WHEN through <= gap THEN through END) OVER (PARTITION BY source) AS words FROM passes)
+        WHERE through > gap AND words IS NOT NULL AND size <= gap - words)),
+took AS (SELECT doc_id FROM passes WHERE through <= gap)
+SELECT doc_id, size, source_size, target, ((copies + (doc_id IN (SELECT doc_id FROM took))::BIGINT) * size)::BIGINT AS taken FROM ranked
 """
 
 
