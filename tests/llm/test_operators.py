@@ -241,6 +241,17 @@ def test_fixed_patterns_keep_their_places(spark):
     assert secrets.find_secrets(docs(spark, rows).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("words, keys", [(2000, 1), (0, 1), (2000, 5), (50, 30)])
+def test_keys_are_found_however_few_there_are(spark, words, keys):
+    rng = random.Random(words + keys)
+    base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    syllables = ["tion", "ing", "an", "er", "ment", "ou", "el", "st"]
+    rows = [(i, "".join(rng.choice(syllables) for _ in range(20))[:40]) for i in range(words)]
+    rows += [(words + i, "see " + "".join(rng.choice(base64) for _ in range(40))) for i in range(keys)]
+    found = {r.doc_id for r in secrets.find_secrets(docs(spark, rows)).collect() if any(s.kind == 3 for s in r.found)}
+    assert len({i for i in found if i >= words}) >= 0.95 * keys and len({i for i in found if i < words}) <= 2
+
+
 def test_random_keys_are_declared_and_words_are_not(spark):
     rng = random.Random(7)
     base64, syllables = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", ["tion", "ing", "an", "er", "ment", "ou", "el", "st"]

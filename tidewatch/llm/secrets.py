@@ -2,11 +2,12 @@
 
 Candidates are long runs of key characters. Each is read in the smallest usual encoding that holds it and put to three
 tests of uniform, independent characters: chi-squared counts over the alphabet, runs about its middle, and serial
-correlation of neighbours; Fisher's method joins their p-values. Random strings keep high p-values; words lose theirs the
-longer they are. How much of that is luck is measured on the corpus: runs of plain letters, no longer than the candidate's
-length band, give the null distribution, and Benjamini-Hochberg within each band bounds the share of false finds at every length.
+correlation of neighbours; Fisher's method joins their p-values. What fails them is no key. What passes may be a word by luck: the
+chance that a string of letters as frequent as in ordinary text repeats characters so little follows from its length and
+alphabet alone, so it is the same in every table, and a single key can be told. Benjamini-Hochberg over these chances, within each
+length band and alphabet, bounds the share of false finds.
 
-Only expressions of DataFrames are used. What is gathered from the corpus is a table of counts by band and p-value bin.
+Only expressions of DataFrames are used. What is gathered from the corpus is a table of counts by band, alphabet and chance.
 """
 
 from __future__ import annotations
@@ -25,8 +26,12 @@ ASSIGN_CHARS, ACCESS_CHARS = 6, 20
 
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 FALSE_SHARE = 0.05
-BINS = 200
+LEAST_P = 0.001  # joint p-value of the battery below which a candidate isn't taken for random
+CELLS, PER_DECADE = 80, 4  # chances are counted in quarters of a power of ten, down to 1e-20
 TOP_BAND = 16
+# How often the letters a to z come in ordinary English text, in percent.
+LETTERS = (8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 0.15, 0.77, 4.0, 2.4, 6.7, 7.5, 1.9, 0.095, 6.0, 6.3, 9.1, 2.8, 0.98, 2.4, 0.15, 2.0, 0.074)
+_SQUARES, _CUBES = (sum((f / sum(LETTERS)) ** power for f in LETTERS) for power in (2, 3))
 
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 # Encodings from the smallest alphabet up: what the string must look like, and the alphabet in order.
@@ -82,8 +87,19 @@ def spans(text: Column, matches: Column, pattern: str) -> Column:
     return F.when(F.size(matches) > 0, F.aggregate(zipped, empty, step, lambda acc: acc["out"])).otherwise(empty["out"])
 
 
+def chance(chi: Column, n: Column, k: Column) -> Column:
+    """Probability that n letters of ordinary text repeat so little that their coincidences reach `chi` at most.
+
+    Coincidences of draws with the letters' frequencies, in the units of the test for k equally likely characters.
+    """
+    unit = 2 * n * (n - 1) / k * (1 - 1 / k)
+    mean = n * (n - 1) * (_SQUARES - 1 / k) / F.sqrt(unit)
+    variance = (4 * n * (n - 1) * (n - 2) * (_CUBES - _SQUARES**2) + 2 * n * (n - 1) * (_SQUARES - _SQUARES**2)) / unit
+    return one_sided((mean - chi) / F.sqrt(variance))
+
+
 def randomness(s: Column) -> Column:
-    """Fisher's joint p-value of the three tests for one candidate."""
+    """(p, chance, k) of one candidate: Fisher's joint p-value of the three tests, the chance of an ordinary string, its alphabet's size."""
     body = F.regexp_replace(s, "=+$", "")
     alphabet = F.lit(ENCODINGS[-1][1])
     for shape, letters in reversed(ENCODINGS[:-1]):
@@ -114,7 +130,7 @@ def _tests(x: Column) -> Column:
     mean, variance = (k - 1) / 2, (k * k - 1) / 12
     serial = F.aggregate(F.transform(pairs, lambda p: (p["a"] - mean) * (p["b"] - mean)), zero, add) / variance / F.sqrt(n - 1)
     half = -(F.log(one_sided(chi)) + F.log(two_sided(runs)) + F.log(two_sided(serial)))
-    return F.exp(-half) * (1 + half + half * half / 2)
+    return F.struct((F.exp(-half) * (1 + half + half * half / 2)).alias("p"), chance(chi, n, k).alias("chance"), k.cast("int").alias("k"))
 
 
 def _numbered(found: str | Column, kind: int) -> Column:
@@ -134,36 +150,32 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         spans(text, F.col("_random"), CANDIDATE).alias("random"),
     )
     base = F.array_sort(F.concat(*[_numbered(k, no) for no, k in enumerate(KINDS[:3])]))
-    tested = F.transform(
-        "random",
-        lambda x: F.struct(
-            x["start"].alias("start"),
-            x["end"].alias("end"),
-            F.least(F.floor(2 * F.log2(F.length(x["m"]))), F.lit(2 * TOP_BAND)).cast("int").alias("band"),
-            F.least(F.floor(randomness(x["m"]) * BINS), F.lit(BINS - 1)).cast("int").alias("bin"),
-            x["m"].rlike("^[A-Za-z]?[a-z]+$").alias("plain"),
-        ),
-    )
-    return found.select("doc_id", base.alias("base"), tested.alias("candidates"))
+    def tested(x: Column) -> Column:
+        return F.transform(F.array(F.struct(x.alias("x"), randomness(x["m"]).alias("r"))), lambda y: F.struct(
+            y["x"]["start"].alias("start"),
+            y["x"]["end"].alias("end"),
+            F.least(F.floor(2 * F.log2(F.length(y["x"]["m"]))), F.lit(2 * TOP_BAND)).cast("int").alias("band"),
+            y["r"]["k"].alias("k"),
+            F.when(y["r"]["p"] >= LEAST_P, F.least(F.floor(-F.log10(y["r"]["chance"]) * PER_DECADE), F.lit(CELLS))).otherwise(0).cast("int").alias("cell"),
+        ))[0]
+
+    return found.select("doc_id", base.alias("base"), F.transform("random", tested).alias("candidates"))
 
 
-def cutoffs(scanned: DataFrame, false_share: float = FALSE_SHARE) -> dict[int, int]:
-    """For each length band the lowest p-value bin that is declared random.
+def cutoffs(scanned: DataFrame, false_share: float = FALSE_SHARE) -> dict[tuple[int, int], int]:
+    """For each length band and alphabet the first cell of chances that is declared random.
 
-    A cell's null p-value is the share of plain letter runs, in its length band or a shorter one, whose bin is at least
-    as high. Benjamini-Hochberg then runs within each band, over cells in place of single candidates, with the number of true nulls
-    put at twice those whose null p-value is above one half. The tables here have a row per band and bin, whatever the size of
-    the corpus.
+    Benjamini-Hochberg over cells in place of single candidates, each with the greatest chance it can hold, and with the number
+    of ordinary strings put at twice those whose chance is above one half. The tables here have a row per band, alphabet
+    and cell, whatever the size of the corpus.
     """
-    cells = scanned.select(F.explode("candidates").alias("c")).groupBy("c.band", "c.bin").agg(F.count("*").alias("n"), F.sum(F.col("c.plain").cast("long")).alias("plain"))
-    cells = stored(cells, "cells")
-    null = cells.select(F.col("band").alias("nb"), F.col("bin").alias("nk"), "plain").where("plain > 0")
-    leaks = cells.select("band", "bin", "n").join(F.broadcast(null), F.col("nb") <= F.col("band"), "left").groupBy("band", "bin", "n").agg(
-        F.coalesce(F.sum("plain"), F.lit(0)).alias("all_null"), F.coalesce(F.sum(F.when(F.col("nk") >= F.col("bin"), F.col("plain"))), F.lit(0)).alias("above")
-    )
-    ranked = leaks.withColumn("p0", (1 + F.col("above")) / (1 + F.col("all_null"))).withColumn("rank", F.sum("n").over(Window.partitionBy("band").orderBy("p0"))).withColumn("nulls", F.least(F.sum("n").over(Window.partitionBy("band")), 2 * (1 + F.coalesce(F.sum(F.when(F.col("p0") > 0.5, F.col("n"))).over(Window.partitionBy("band")), F.lit(0)))))
-    level = F.max(F.when(F.col("p0") <= false_share * F.col("rank") / F.col("nulls"), F.col("p0"))).over(Window.partitionBy("band"))
-    return {r["band"]: r["cut"] for r in ranked.withColumn("level", level).where("p0 <= level").groupBy("band").agg(F.min("bin").alias("cut")).collect()}
+    kind = ["band", "k"]
+    cells = stored(scanned.select(F.explode("candidates").alias("c")).groupBy("c.band", "c.k", "c.cell").agg(F.count("*").alias("n")), "cells")
+    every, least_first = Window.partitionBy(*kind), Window.partitionBy(*kind).orderBy(F.desc("cell"))
+    p0 = F.pow(F.lit(10.0), -F.col("cell") / PER_DECADE)
+    ordinary = F.least(F.sum("n").over(every), 2 * (1 + F.coalesce(F.sum(F.when(F.col("cell") <= 1, F.col("n"))).over(every), F.lit(0))))
+    passing = cells.withColumns({"rank": F.sum("n").over(least_first), "ordinary": ordinary}).where((F.col("cell") > 0) & (p0 <= false_share * F.col("rank") / F.col("ordinary")))
+    return {(r["band"], r["k"]): r["cut"] for r in passing.groupBy(*kind).agg(F.min("cell").alias("cut")).collect()}
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, false_share: float = FALSE_SHARE) -> DataFrame:
@@ -178,8 +190,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def is_random(c: Column) -> Column:
         hit = F.lit(False)
-        for band, cut in sorted(cuts.items()):
-            hit = hit | ((c["band"] == band) & (c["bin"] >= cut))
+        for (band, k), cut in sorted(cuts.items()):
+            hit = hit | ((c["band"] == band) & (c["k"] == k) & (c["cell"] >= cut))
         return hit & ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
 
     random = _numbered(F.filter("candidates", is_random), KINDS.index("random"))
