@@ -10,7 +10,7 @@ from tidewatch.functions.labels import dimension_of
 from tidewatch.functions.text import fold, let, sentences, trim_all
 from tidewatch.functions.vectors import dot
 from tidewatch.operators.neighbours import nearest
-from tidewatch.operators.sequence import top_per_key, with_neighbours
+from tidewatch.operators.sequence import as_of, top_per_key, with_neighbours
 from tidewatch.schemas import SIMILARITY_THRESHOLD
 
 MARKET = "Market"
@@ -184,6 +184,12 @@ def facts_as_of(facts: DataFrame, at: Column) -> DataFrame:
     )
 
 
+def facts_at(asks: DataFrame, facts: DataFrame, slot_seconds: int = 86_400) -> DataFrame:
+    """Each ask (vendor, dimension, at) with ``held``, the id of the fact that a full replay holds newest at its own instant."""
+    made = facts.select("vendor", "dimension", F.col("valid_from").alias("at"), "fact_id")
+    return as_of(asks, made, ["vendor", "dimension"], "at", "fact_id", ["fact_id"], slot_seconds).withColumn("held", F.col("found.fact_id")).drop("found")
+
+
 def change_events(classified: DataFrame, facts: DataFrame, links: DataFrame) -> DataFrame:
     """One event per trigger item with its fact pointers; unattributed items read ``Market``."""
     made = facts.select(

@@ -9,7 +9,7 @@ from tidewatch.functions.labels import recency_weight
 from tidewatch.functions.text import first_sentence
 from tidewatch.operators.neighbours import within
 from tidewatch.operators.ranking import best_first, score
-from tidewatch.operators.sequence import latest_per_key, top_per_key
+from tidewatch.operators.sequence import as_of, latest_per_key, top_per_key
 from tidewatch.schemas import (
     CONFIDENCE_HALF_LIFE_DAYS,
     CONFIDENCE_HIGH,
@@ -198,6 +198,14 @@ def latest_approvals(revisions: DataFrame, as_of: Column | None = None) -> DataF
     return latest_per_key(rows, ["vendor", "axis_id"], [F.col("created_at"), F.col("revision_id")])
 
 
+def approvals_at(asks: DataFrame, revisions: DataFrame, slot_seconds: int = 86_400) -> DataFrame:
+    """Each ask (vendor, axis_id, created_at) with ``approved``, the readable approval of its cell that stood at that instant
+    (revision_id, signal_id, after)."""
+    after = F.from_json("after_json", "struct<level: string, note: string>")
+    rows = revisions.filter("action = 'approve'").withColumn("after", after).filter(F.col("after.level").isNotNull())
+    return as_of(asks, rows, ["vendor", "axis_id"], "created_at", "revision_id", ["revision_id", "signal_id", "after"], slot_seconds).withColumnRenamed("found", "approved")
+
+
 def reviewed_ids(revisions: DataFrame) -> DataFrame:
     return revisions.select("vendor", "axis_id", F.col("signal_id").alias("id")).distinct()
 

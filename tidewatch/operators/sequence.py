@@ -52,6 +52,30 @@ def with_neighbours(
     )
 
 
+def as_of(asks: DataFrame, rows: DataFrame, keys: list[str], at: str, tie: str, payload: list[str], slot_seconds: int = 86_400) -> DataFrame:
+    """Each ask with ``found``: the payload of the newest row of its keys at or before its own instant, null where there is none.
+
+    Both sides hold the keys and ``at``, which must not be null; of rows at one instant the one with the largest ``tie`` is the
+    newest. The sides are put into one order: inside a slot the last row is carried along, and what a slot ends with is
+    carried to the next ones, so a key's whole history is never in one task.
+    """
+    spot = F.struct(*[F.col(p) for p in payload])
+    blank = F.lit(None)
+    put = rows.select(*keys, F.col(at).alias("_at"), F.lit(0).alias("_side"), F.col(tie).alias("_tie"), spot.alias("_row"), blank.cast(asks.select(F.struct(*asks.columns)).schema[0].dataType).alias("_ask"))
+    asked = asks.select(*keys, F.col(at).alias("_at"), F.lit(1).alias("_side"), blank.cast(rows.schema[tie].dataType).alias("_tie"), blank.cast(rows.select(spot).schema[0].dataType).alias("_row"), F.struct(*asks.columns).alias("_ask"))
+    both = put.unionByName(asked).withColumn("_slot", time_slot(F.col("_at"), slot_seconds))
+    inside = Window.partitionBy(*keys, "_slot").orderBy("_at", "_side", "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = both.withColumn("_near", F.last("_row", ignorenulls=True).over(inside)).filter("_side = 1")
+    # One row per slot travels on: the last row it holds, if any.
+    ends = both.groupBy(*keys, "_slot").agg(F.max_by("_row", F.when(F.col("_side") == 0, F.struct("_at", "_tie"))).alias("_end"))
+    across = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    before = ends.withColumn("_before", F.last("_end", ignorenulls=True).over(across)).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_slot").alias("_s"), "_before")
+    condition = F.col("_slot") == F.col("_s")
+    for i, k in enumerate(keys):
+        condition = condition & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return near.join(before, condition, "left").select("_ask.*", F.coalesce("_near", "_before").alias("found"))
+
+
 def latest_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The newest row per key, by a partial aggregate rather than a sort of the whole group.
     The last order column must make rows distinct."""

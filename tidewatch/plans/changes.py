@@ -208,6 +208,15 @@ def _(spark, d):
     return changes.current_facts(facts).select(F.lit("now").alias("state"), *keep).unionByName(then.select(F.lit("then").alias("state"), *keep))
 
 
+@query("d6_fact_held_at_each_item", f"""WITH {CHANGES_SQL}
+SELECT c.item_id, (SELECT arg_max(f.fact_id, (f.valid_from, f.fact_id)) FROM facts f WHERE f.vendor = c.vendor AND f.dimension = c.dimension AND f.valid_from <= c.ts0) AS held
+FROM change_rows c WHERE c.vendor IS NOT NULL AND c.ts0 IS NOT NULL""")
+def _(spark, d):
+    rows = change_rows(spark, d)
+    asks = rows.filter("vendor is not null and at is not null").select("item_id", "vendor", "dimension", "at")
+    return changes.facts_at(asks, changes.fact_chain(rows)).select("item_id", "held")
+
+
 def event_rows(spark, d):
     """Change events with their trigger's title and date. The id of an event is its trigger's."""
     rows = change_rows(spark, d)

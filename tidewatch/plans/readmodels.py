@@ -383,6 +383,14 @@ def _(spark, d):
     return evidence.latest_approvals(reviewed_rows(spark, d), F.lit("2024-01-15").cast("timestamp")).select("vendor", "axis_id", "signal_id")
 
 
+@query("j11_approval_at_each_review", f"""WITH {EVIDENCE_SQL} SELECT r.id AS revision_id, (SELECT arg_max(a.id, (a.ts, a.id)) FROM reviewed a
+  WHERE a.action = 'approve' AND a.bad = '' AND a.vendor = r.vendor AND a.axis_id = r.axis_id AND a.ts <= r.ts) AS signal_id FROM reviewed r""")
+def _(spark, d):
+    rows = reviewed_rows(spark, d)
+    asks = rows.select("revision_id", "vendor", "axis_id", "created_at")
+    return evidence.approvals_at(asks, rows).select("revision_id", F.col("approved.signal_id").alias("signal_id"))
+
+
 @query("j6_a9_corroboration", """WITH v AS MATERIALIZED (SELECT vec_id, label, CASE WHEN vec_id % 50 <> 0 THEN vec_id END AS ts0, CASE WHEN vec_id % 6 = 0 THEN 'primary' ELSE 'secondary' END AS tier, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
 p AS (SELECT q.vec_id AS id, c.vec_id AS other, c.tier, round(1 - list_distance(q.e, c.e) * list_distance(q.e, c.e) / 2, 9) AS sim FROM v q JOIN v c ON c.label = q.label AND c.vec_id <> q.vec_id
   AND (q.ts0 IS NULL OR c.ts0 IS NULL OR abs(q.ts0 - c.ts0) <= 168)),
