@@ -16,7 +16,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables n
 SAMPLE = [
     "j1_r1_r2_r3_ranked_brief", "x3_x5_canonical_url", "s1_feed_items", "n3_first_wins_dedupe", "n4_n5_upsert_classify", "e2_e3_validate_enrichment",
     "v1_v2_chunks", "d4_j5_a8_similar_priors", "d7_d8_change_events", "c1_c5_contradiction", "m2_m3_j10_r8_suggestions", "b2_battlecards", "t3_digests",
-    "w1_continuous_ingest", "w3_fact_stream", "w4_rate_stream",
+    "w1_continuous_ingest", "w3_fact_stream", "w4_rate_stream", "d5_two_passes", "d6_fact_held_at_each_item", "j11_approval_at_each_review", "s14_markdown",
 ]
 
 
