@@ -103,46 +103,63 @@ def latest_facts(told: DataFrame) -> DataFrame:
     )
 
 
+SPAN_WINDOWS = 1_440  # window lengths of waiting events that are stored together: a day of minutes
+
+
 class RateWindow(StatefulProcessor):
-    """Per key: events that wait for the watermark, by slots of one window's length, and the open window.
+    """Per key: events that wait for the watermark, by spans of many windows, and the open window.
 
-    A slot is decided once the watermark has passed its end, so its events are all there and in order; a key's events are
-    never held in one piece, only those of a slot. The state goes when the open window has ended and nothing waits.
+    Slots of one window's length are decided once the watermark has passed their end, so their events are all there and in order.
+    A span's events are stored and read together and have one timer, for the end of the first slot, as every call of the state store costs
+    far more than an event; a key's events are never held in one piece, only those of a span. The state goes when the open window
+    has ended and nothing waits.
     """
 
     def __init__(self, width: int, budget: int):
         self._width, self._budget = width, budget
+        self._span = width * SPAN_WINDOWS
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
         self._window = handle.getValueState("window", "start long, seen long")
-        self._waiting = handle.getMapState("waiting", "slot long, chunk long", "ms array<long>, ids array<long>")
-        self._chunks = handle.getMapState("chunks", "slot long", "n long")
+        self._waiting = handle.getMapState("waiting", "span long, chunk long", "ms array<long>, ids array<long>")
+        self._chunks = handle.getMapState("chunks", "span long", "n long, least long")
+
+    def _hold(self, span: int, chunk: int, least: int, ms: list[int], ids: list[int]) -> None:
+        self._waiting.updateValue((span, chunk), (ms, ids))
+        self._chunks.updateValue((span,), (chunk + 1, least))
+        self._handle.registerTimer((least // self._width + 1) * self._width)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         if key[0] is not None:  # a row without a key only moves the watermark
             for frame in rows:
-                for slot, part in frame.groupby(frame["ms"] // self._width):
-                    n = self._chunks.getValue((int(slot),)) if self._chunks.containsKey((int(slot),)) else (0,)
-                    self._waiting.updateValue((int(slot), n[0]), (part["ms"].tolist(), part["event_id"].tolist()))
-                    self._chunks.updateValue((int(slot),), (n[0] + 1,))
-                    self._handle.registerTimer((int(slot) + 1) * self._width)
+                for span, part in frame.groupby(frame["ms"] // self._span):
+                    span, first = int(span), int(part["ms"].min())
+                    n, least = self._chunks.getValue((span,)) if self._chunks.containsKey((span,)) else (0, first)
+                    self._hold(span, n, min(first, least), part["ms"].tolist(), part["event_id"].tolist())
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
+        through = now // self._width * self._width  # slots before it are decided
         start, seen = self._window.get() or (None, 0)
-        for slot in sorted(s[0] for s in self._chunks.keys()):
-            if (slot + 1) * self._width > now:
+        for span in sorted(s[0] for s in self._chunks.keys()):
+            chunks, least = self._chunks.getValue((span,))
+            if least >= through:
                 break
             events: list[tuple[int, int]] = []
-            for chunk in range(self._chunks.getValue((slot,))[0]):
-                ms, ids = self._waiting.getValue((slot, chunk))
+            for chunk in range(chunks):
+                ms, ids = self._waiting.getValue((span, chunk))
                 events.extend(zip(ms, ids))
-                self._waiting.removeKey((slot, chunk))
-            self._chunks.removeKey((slot,))
+                self._waiting.removeKey((span, chunk))
+            self._chunks.removeKey((span,))
+            events.sort()
+            due = bisect_left(events, (through,))
+            if due < len(events):
+                ms, ids = zip(*events[due:])
+                self._hold(span, 0, ms[0], list(ms), list(ids))
             out = []
-            for ms, event in sorted(events):
+            for ms, event in events[:due]:
                 if start is None or ms >= start + self._width:
                     start, seen = ms, 0
                 seen += 1
