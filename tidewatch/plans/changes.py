@@ -11,7 +11,7 @@ from tidewatch.operators.sequence import top_per_key
 from tidewatch.plans.gates import TURN_PAIRS_SQL, turn_pairs
 from tidewatch.plans.registry import query
 from tidewatch.plans.views import NOW_SQL, SIGNALS_SQL, now, signals, sql_collapse, sql_fold, sql_sentences, sql_trim, table
-from tidewatch.session import settle
+from tidewatch.session import settle, written
 
 
 def _missing_sql(these: str, others: str) -> str:
@@ -218,9 +218,10 @@ def _(spark, d):
 
 
 def event_rows(spark, d):
-    """Change events with their trigger's title and date. The id of an event is its trigger's."""
-    rows = change_rows(spark, d)
-    facts = changes.fact_chain(rows)
+    """Change events with their trigger's title and date. The id of an event is its trigger's. Rows and facts are written: what
+    joins them all sorts in one task only what it joins, not what they come from."""
+    rows = written(change_rows(spark, d), "change-rows")
+    facts = written(changes.fact_chain(rows), "facts")
     classified = rows.select(
         F.col("item_id").alias("raw_item_id"), "vendor", "dimension", "kind", F.lit(None).cast("string").alias("before"), "after",
         F.when(F.col("kind").isin("new", "update"), F.col("impact_score")).otherwise(1).alias("materiality"),
