@@ -425,6 +425,50 @@ def test_edit_similarity_bounds(spark):
     assert frame.where(fuzzy_lines.similar(F.col("a"), F.col("b"), 0.9) != F.col("want")).count() == 0
 
 
+def test_edit_similarity_of_long_lines_follows_moves(spark):
+    rng = random.Random(31)
+    pairs = []
+    for n in (60, 90, 160, 400):
+        for cut in (0, n // 16, n // 9):
+            a = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(n)]
+            b = a[: n // 3] + a[n // 3 + cut:]
+            for at in rng.sample(range(len(b)), n // 30):
+                b[at] = "changed"
+            a, b = " ".join(a), " ".join(b)
+            for x, y in ((a, b), (b, a), (a + a[:300], b + a[:300])):
+                pairs.append((x, y, edits(x, y) <= math.floor(max(len(x), len(y)) * 0.1 + 1e-9)))
+    assert {True, False} == {p[2] for p in pairs}
+    frame = spark.createDataFrame(pairs, "a string, b string, want boolean")
+    assert frame.where(fuzzy_lines.similar(F.col("a"), F.col("b"), 0.9) != F.col("want")).count() == 0
+
+
+def test_simhash_lanes_count_as_plain_sums(spark):
+    rng = random.Random(32)
+    lines = [" ".join("".join(rng.choice("abcdef") for _ in range(7)) for _ in range(n)) for n in (1, 2, 5, 126, 127, 128, 300)]
+    got = fuzzy_lines._counters(spark.createDataFrame([(x,) for x in lines], "line string")).select("line", "simhash", "x").collect()
+    for r in got:
+        bits = [sum(h >> b & 1 for h in r.x) for b in range(63)]
+        assert r.simhash == sum(1 << b for b, count in enumerate(bits) if 2 * count > len(r.x))
+
+
+def test_fuzzy_lines_move_no_line_that_meets_none(spark, monkeypatch):
+    written = {}
+
+    class Counted(fuzzy_lines.Stored):
+        def __init__(self, df, label, *more):
+            super().__init__(df, label, *more)
+            written.setdefault(label, []).append((self.df.columns, self.df.count()))
+
+    monkeypatch.setattr(fuzzy_lines, "Stored", Counted)
+    rng = random.Random(33)
+    rows = [(i, " ".join("".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(60))) for i in range(40)]
+    got = fuzzy_lines.line_groups(docs(spark, [*rows, (90, rows[0][1] + " more"), (91, rows[0][1])])).collect()
+    assert sum(r.kept for r in got) == 40 and len(got) == 42
+    assert [n for _, n in written["lines"]] == [42]  # texts are written once
+    assert [n for _, n in written["texts"]] == [2]  # and read again for lines that met another
+    assert max(n for label in ("buckets", "met", "pairs") for _, n in written[label]) < 40
+
+
 # Toxicity
 
 
