@@ -186,6 +186,28 @@ def test_near_vectors_match_brute_force(spark, monkeypatch):
     assert cover_tree.near_vectors(frame.limit(0)).count() == 0
 
 
+def test_pages_travel_once_for_each_tile(spark, monkeypatch):
+    """A page was sent once for every page it was held against, and the vectors were written again with the results."""
+    monkeypatch.setattr(cover_tree, "PAGE", 16)
+    sent, written = [], []
+
+    def travel(spark, pages, *args, real=cover_tree._travel):
+        sides = real(spark, pages, *args)
+        sent.append((pages.count(), [side.count() for side in sides]))
+        return sides
+
+    monkeypatch.setattr(cover_tree, "_travel", travel)
+    monkeypatch.setattr(cover_tree, "stored", lambda df, label, real=cover_tree.stored: written.append(df.columns) or real(df, label))
+    x = np.random.default_rng(6).normal(size=(640, 8)).astype(np.float32)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r.vec_id: r.n_links for r in cover_tree.near_vectors(frame).collect()}
+    u = cover_tree.unit(x)
+    assert got == dict(enumerate(((u @ u.T >= 0.9).sum(axis=1) - 1).tolist()))
+    pages, sides = sent[0]
+    assert pages >= 40 and max(sides) <= pages * cover_tree.LEAST_TILES
+    assert sum("v" in columns for columns in written) == 1
+
+
 # Tokens
 
 

@@ -3,7 +3,7 @@
 Unit vectors are compared by chord length, for which cosine >= t means chord <= sqrt(2 - 2t). The top of the tree is a set
 of anchors, spread over a bounded sample; below an anchor, vectors are dealt into pages of bounded size, and every page
 holds a cover tree of its own: nested levels whose radii halve, each node with the true radius of what it covers. Two
-subtrees are walked together. A pair of nodes whose bound exceeds the threshold is dropped, one that lies within it whole
+subtrees are walked together. Pages travel by tiles, a page once for each tile in which it meets any other. A pair of nodes whose bound exceeds the threshold is dropped, one that lies within it whole
 is linked whole, and the rest open into their children, down to pairs of vectors that are measured in double precision.
 
 Only a count of links per vector and a spanning forest of them leave a task.
@@ -18,15 +18,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import components, stored
+from tidewatch.llm.common import Stored, components, stored
 
 THRESHOLD = 0.9
 PAGE = 2_048
 ANCHORS = 1_024  # most anchors of one vector width
 SAMPLE = 4_096  # vectors the anchors are chosen from, those whose hashes are lowest
+TILE_CELLS = 2**23  # numbers in the vectors of the pages that travel together
+LEAST_TILES = 6  # of each vector width that has so many pages
 LEVELS = 7  # radii 2, 1, 1/2, ... of a page's tree
 DENSE = 0.05  # share of node pairs above which the next level is measured whole
 SLACK = 1e-9  # bounds are only trusted beyond rounding
@@ -220,26 +222,43 @@ def _page(table: pa.Table) -> pa.Table:
     raw = v.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
     tree, order = build(unit(raw))
     ids, copies = table["class_id"].to_numpy()[order], table["copies"].to_numpy()[order]
-    payload = pickle.dumps((raw[order], tree.starts, tree.centers, tree.radii, ids, copies), protocol=5)
-    return pa.table({"width": [width], "anchor": [table["anchor"][0].as_py()], "page": [table["page"][0].as_py()], "radius": [float(max(table["distance"].to_numpy())) + SLACK], "tree": [payload]})
+    # A level of single points is told by its length alone.
+    small = np.uint16 if len(raw) < 1 << 16 else np.int64
+    levels = [None if len(start) == len(raw) else (start.astype(small), center.astype(small), radius) for start, center, radius in zip(tree.starts, tree.centers, tree.radii, strict=True)]
+    payload = pickle.dumps((raw[order], levels, ids, copies), protocol=5)
+    return pa.table({"width": [width], "anchor": [table["anchor"][0].as_py()], "page": [table["page"][0].as_py()], "radius": [float(max(table["distance"].to_numpy())) + SLACK], "n": [len(raw)], "tree": [payload]})
 
 
-def _load(payload: bytes) -> tuple[Tree, np.ndarray, np.ndarray]:
-    raw, starts, centers, radii, ids, copies = pickle.loads(payload)  # noqa: S301 written by _page in this job
-    return Tree(unit(raw), starts, centers, radii), ids, copies
+def _load(payload: pa.Buffer) -> tuple[Tree, np.ndarray, np.ndarray]:
+    raw, levels, ids, copies = pickle.loads(payload)  # noqa: S301 written by _page in this job
+    points = np.arange(len(raw))
+    starts, centers, radii = zip(*[(points, points, np.zeros(len(raw))) if level is None else (level[0].astype(np.int64), level[1].astype(np.int64), level[2]) for level in levels], strict=True)
+    return Tree(unit(raw), list(starts), list(centers), list(radii)), ids, copies
+
+
+def _merged(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.Table:
+    """One row per id of all that pairs of pages gave."""
+    ids, least, links = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3))
+    every, at = np.unique(np.concatenate([ids, least]), return_inverse=True)
+    one, other = at[: len(ids)], at[len(ids) :]
+    total = np.zeros(len(every), np.int64)
+    np.add.at(total, one, links)
+    hit = np.flatnonzero(total)
+    return pa.table([pa.array(x, pa.int64()) for x in (every[hit], every[_smallest(len(every), [(one, other)])[hit]], total[hit])], names=["a", "b", "links"])
 
 
 def _joined(threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for one, other in zip(batch.column("tree_a"), batch.column("tree_b"), strict=True):
-                a, ids_a, copies_a = _load(one.as_py())
-                if other.is_valid:
-                    b, ids_b, copies_b = _load(other.as_py())
-                else:
-                    b, ids_b, copies_b = None, ids_a, copies_a
-                ids, least, links = page_links(a, ids_a, copies_a, b, ids_b, copies_b, threshold)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(least, pa.int64()), pa.array(links, pa.int64())], names=["a", "b", "links"])
+    """The links of the pages of one tile with those of another that they open."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        place = {no: i for i, no in enumerate(right["no_b"].to_pylist())}
+        found = []
+        for no, opens, tree in zip(left["no_a"].to_pylist(), left["opens"].to_pylist(), left["tree"], strict=True):
+            a, ids_a, copies_a = _load(tree.as_buffer())
+            for other in opens:
+                b, ids_b, copies_b = (None, ids_a, copies_a) if other == no else _load(right["tree"][place[other]].as_buffer())
+                found.append(page_links(a, ids_a, copies_a, b, ids_b, copies_b, threshold))
+        return _merged(found)
 
     return run
 
@@ -279,23 +298,35 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         picked = classes.where(F.col("width") == width).orderBy(F.xxhash64("v"), "class_id").limit(SAMPLE).select("v").toPandas()["v"]
         anchors[width] = _spread(unit(np.stack([np.asarray(x, np.float64) for x in picked])), max(1, min(ANCHORS, math.ceil(n / PAGE))))
     kind = dict(classes.dtypes)["v"]
-    placed = stored(classes.select("class_id", "copies", "width", "v").mapInArrow(_nearest(anchors), f"class_id long, copies long, width int, v {kind}, anchor long, distance double"), "placed")
-    sizes = placed.groupBy("width", "anchor").agg(F.ceil(F.count("*") / PAGE).alias("pages"))
-    paged = placed.join(sizes, ["width", "anchor"]).withColumn("page", F.pmod(F.xxhash64("class_id"), "pages"))
-    pages = stored(
-        paged.groupBy("width", "anchor", "page").applyInArrow(_page, "width long, anchor long, page long, radius double, tree binary"),
+    placed = Stored(classes.select("class_id", "copies", "width", "v").mapInArrow(_nearest(anchors), f"class_id long, copies long, width int, v {kind}, anchor long, distance double"), "placed")
+    sizes = placed.df.groupBy("width", "anchor").agg(F.ceil(F.count("*") / PAGE).alias("pages"))
+    paged = placed.df.join(sizes, ["width", "anchor"]).withColumn("page", F.pmod(F.xxhash64("class_id"), "pages"))
+    pages = Stored(
+        paged.groupBy("width", "anchor", "page").applyInArrow(_page, "width long, anchor long, page long, radius double, n long, tree binary"),
         "pages",
     )
+    placed.drop()
     results = _results(spark, classes, pages, anchors, threshold)
     good_rows = rows.where("good").join(results, "v").select("vec_id", "n_links", "component_id", "class_size")
     bad_rows = rows.where("not good").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(1).cast("long").alias("class_size"))
     return good_rows.unionByName(bad_rows).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id"))).select("vec_id", "n_links", "component_id", "kept", "class_size")
 
 
-def _results(spark, classes: DataFrame, pages: DataFrame, anchors: dict[int, np.ndarray], threshold: float) -> DataFrame:
-    """(v, n_links, component_id, class_size) of every class."""
+def _tiled(pages: DataFrame) -> DataFrame:
+    """One row per page, without its tree: its number and its tile. Pages of near anchors share a tile, and tiles hold like numbers of vectors."""
+    every, order = Window.partitionBy("width"), Window.partitionBy("width").orderBy("anchor", "page")
+    own = F.col("n") * F.col("width")
+    cells = F.sum(own).over(every)
+    tiles = F.greatest(F.ceil(cells / TILE_CELLS), F.least(F.lit(LEAST_TILES), F.count("*").over(every)))
+    before = F.coalesce(F.sum(own).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return stored(pages.select("width", "anchor", "page", "radius", F.row_number().over(order).alias("no"), F.floor(before * tiles / cells).alias("tile")), "listed")
+
+
+def _travel(spark, pages: DataFrame, anchors: dict[int, np.ndarray], threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Pages with those they open in another tile, and the opened pages of that tile: every page once for each tile it meets."""
     limit = math.sqrt(max(0.0, 2.0 - 2.0 * threshold)) + SLACK
-    tops = pages.groupBy("width", "anchor").agg(F.max("radius").alias("radius")).collect()  # a row per anchor
+    listed = _tiled(pages)
+    tops = listed.groupBy("width", "anchor").agg(F.max("radius").alias("radius")).collect()  # a row per anchor
     radius = {(r["width"], r["anchor"]): r["radius"] for r in tops}
     opened = []
     for width, centers in anchors.items():
@@ -303,23 +334,35 @@ def _results(spark, classes: DataFrame, pages: DataFrame, anchors: dict[int, np.
         here = [k for w, k in radius if w == width]
         opened += [(width, p, q, float(d[p, q])) for p in here for q in here if p <= q and d[p, q] - radius[width, p] - radius[width, q] <= limit]
     frontier = spark.createDataFrame(opened, "width long, anchor_a long, anchor_b long, apart double")
-    listed = pages.select("width", "anchor", "page", "radius")
 
     def side(name: str) -> DataFrame:
-        return listed.select("width", F.col("anchor").alias(f"anchor_{name}"), F.col("page").alias(f"page_{name}"), F.col("radius").alias(f"radius_{name}"))
+        return listed.select("width", *[F.col(c).alias(f"{c}_{name}") for c in ("anchor", "page", "radius", "no", "tile")])
 
     def trees(name: str) -> DataFrame:
-        return pages.select("width", F.col("anchor").alias(f"anchor_{name}"), F.col("page").alias(f"page_{name}"), F.col("tree").alias(f"tree_{name}"))
+        with_no = pages.join(listed.select("width", "anchor", "page", "no"), ["width", "anchor", "page"])
+        return with_no.select("width", F.col("no").alias(f"no_{name}"), "tree")
 
     pairs = frontier.join(side("a"), ["width", "anchor_a"]).join(side("b"), ["width", "anchor_b"])
     pairs = pairs.where((F.col("apart") - F.col("radius_a") - F.col("radius_b") <= limit) & ((F.col("anchor_a") < F.col("anchor_b")) | (F.col("page_a") <= F.col("page_b"))))
-    same = (F.col("anchor_a") == F.col("anchor_b")) & (F.col("page_a") == F.col("page_b"))
-    loaded = pairs.select("width", "anchor_a", "page_a", "anchor_b", "page_b").repartition("width", "anchor_a", "page_a", "anchor_b", "page_b").join(trees("a"), ["width", "anchor_a", "page_a"]).join(trees("b"), ["width", "anchor_b", "page_b"])
-    loaded = loaded.select("tree_a", F.when(~same, F.col("tree_b")).alias("tree_b"), "width", "anchor_a", "page_a", "anchor_b", "page_b").repartition("width", "anchor_a", "page_a", "anchor_b", "page_b").select("tree_a", "tree_b")
-    found = stored(loaded.mapInArrow(_joined(threshold), "a long, b long, links long"), "links")
-    links = stored(found.groupBy(F.col("a").alias("class_id")).agg(F.sum("links").alias("links")), "links")
-    joined = components(found.select("a", "b"))
-    whole = classes.join(links, "class_id", "left").join(joined, classes["class_id"] == joined["node"], "left").withColumn("component", F.coalesce("component", "class_id"))
-    whole = stored(whole.select("v", "first_id", "copies", "component", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "linked")
+    opens = stored(pairs.groupBy("width", "tile_a", "tile_b", "no_a").agg(F.collect_list("no_b").alias("opens")), "opens")
+    met = opens.select("width", "tile_a", "tile_b", F.explode("opens").alias("no_b")).distinct()
+    left, right = opens.join(trees("a"), ["width", "no_a"]), met.join(trees("b"), ["width", "no_b"])
+    # New column identities, as both sides come from one table.
+    return tuple(df.select(*[F.col(c).alias(c) for c in df.columns]) for df in (left, right))
+
+
+def _results(spark, classes: DataFrame, pages: Stored, anchors: dict[int, np.ndarray], threshold: float) -> DataFrame:
+    """(v, n_links, component_id, class_size) of every class."""
+    tile = ["width", "tile_a", "tile_b"]
+    left, right = (df.groupBy(*tile) for df in _travel(spark, pages.df, anchors, threshold))
+    found = Stored(left.cogroup(right).applyInArrow(_joined(threshold), "a long, b long, links long"), "links")
+    pages.drop()
+    links = stored(found.df.groupBy(F.col("a").alias("class_id")).agg(F.sum("links").alias("links")), "links")
+    joined = components(found.df.select("a", "b"))
+    found.drop()
+    narrow = classes.select("class_id", "first_id", "copies")
+    whole = narrow.join(links, "class_id", "left").join(joined, narrow["class_id"] == joined["node"], "left").withColumn("component", F.coalesce("component", "class_id"))
+    whole = stored(whole.select("class_id", "first_id", "copies", "component", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "linked")
     leads = stored(whole.groupBy("component").agg(F.min("first_id").alias("component_id")), "leads")
-    return stored(whole.join(leads, "component").select("v", "n_links", "component_id", F.col("copies").alias("class_size")), "results")
+    results = stored(whole.join(leads, "component").select("class_id", "n_links", "component_id", F.col("copies").alias("class_size")), "results")
+    return classes.select("class_id", "v").join(results, "class_id").drop("class_id")
