@@ -186,6 +186,44 @@ def test_near_vectors_match_brute_force(spark, monkeypatch):
     assert cover_tree.near_vectors(frame.limit(0)).count() == 0
 
 
+def test_letters_never_rule_out_a_similar_line(spark):
+    rng = random.Random(12)
+    pairs = []
+    for _ in range(300):
+        a = "".join(rng.choice("abcdetz 129é") for _ in range(rng.randrange(1, 400)))
+        b = list(a)
+        for _ in range(rng.randrange(0, 60)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randrange(2)] = rng.choice(["", "a", "e", "q", "é", " "])
+        pairs.append((a, "".join(b)))
+    pairs += [("a" * 300, "b" * 300), ("a" * 300, "a" * 100), ("abc", ""), ("zz 1", "1 zz")]
+    frame = spark.createDataFrame(pairs, "a string, b string")
+    counts = {side: list(fuzzy_lines.letter_counts(F.col(side)).values()) for side in "ab"}
+    more, fewer = (fuzzy_lines.surplus(counts[x][:-1], counts[y][:-1]) for x, y in ("ab", "ba"))
+    rows = frame.select("a", "b", more.alias("more"), fewer.alias("fewer"), (counts["a"][-1] - counts["b"][-1]).alias("apart"), F.levenshtein("a", "b").alias("edits")).collect()
+    for r in rows:
+        want = [sum(max(0, min(x.count(c), 127) - min(y.count(c), 127)) for c in fuzzy_lines.LETTERS) for x, y in ((r.a, r.b), (r.b, r.a))]
+        assert [r.more, r.fewer] == want and r.more - r.fewer == r.apart and max(want) <= r.edits
+
+
+def test_lines_that_share_a_passage_alone_are_not_read_in_pairs(spark, monkeypatch):
+    """Lines of like lengths that share a passage were all paired with their texts."""
+    rng = random.Random(13)
+    passage = "considered international responsibility"
+
+    def filler() -> str:
+        letters = rng.sample("abcdefghijklmnopqrstuvwxyz", 8)
+        return " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(2, 6))) for _ in range(20))
+
+    texts = [f"{filler()} {passage} {filler()}" for _ in range(120)]
+    texts += [texts[7] + "x", texts[90].replace("considered", "consider")]
+    read = []
+    monkeypatch.setattr(fuzzy_lines, "_near", lambda pairs, *rest, real=fuzzy_lines._near: read.append(pairs.count()) or real(pairs, *rest))
+    rows = fuzzy_lines.line_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id for r in rows if not r.kept} == {120, 121}
+    assert read[-1] < 120 * 119 / 2 / 10
+
+
 def test_pages_travel_once_for_each_tile(spark, monkeypatch):
     """A page was sent once for every page it was held against, and the vectors were written again with the results."""
     monkeypatch.setattr(cover_tree, "PAGE", 16)
